@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.runs import let
 from tessera.llm.tables import ranked, written
 
 SUBSETS = 32
@@ -56,11 +57,11 @@ def hashes(terms_: Column, rate: Column) -> Column:
     span = F.call_function("shiftleft", F.lit(SUBSETS).cast("long"), rate)
     placed = F.transform(F.array_sort(terms_), lambda h: F.struct(F.pmod(h, span).alias("c"), h.alias("h")))
 
-    def one(c: Column) -> Column:
-        own = F.filter(placed, lambda x: x["c"] == c)
+    def one(all_: Column, c: Column) -> Column:
+        own = F.filter(all_, lambda x: x["c"] == c)
         return F.when(F.size(own) > 0, F.shiftright(F.xxhash64(F.transform(own, lambda x: x["h"])), 32).cast("int"))
 
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), one)
+    return let(placed, lambda all_: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), lambda c: one(all_, c)))
 
 
 def as_text(print_: Column) -> Column:

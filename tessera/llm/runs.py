@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often and wherever it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def merged(runs: Column | str) -> Column:
     """The runs in order; such that touch or overlap become one."""
     runs = F.array_sort(runs)
@@ -27,6 +34,10 @@ def covered(runs: Column | str) -> Column:
 def outside(elements: Column | str, runs: Column | str) -> Column:
     """``elements`` without merged runs."""
     elements, runs = (F.col(x) if isinstance(x, str) else x for x in (elements, runs))
+    return let(elements, lambda e: let(runs, lambda r: _outside(e, r)))
+
+
+def _outside(elements: Column, runs: Column) -> Column:
     gaps = F.transform(
         F.sequence(F.lit(0), F.size(runs)),
         lambda k: F.struct(
