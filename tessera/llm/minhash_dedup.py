@@ -32,10 +32,13 @@ SHINGLE = 5
 SLOTS = 64
 TREES = 16
 STRIDE = SLOTS // TREES
-DEPTH = 8
+DEPTH = 12
 LEAST_DEPTH = 2
-NEIGHBOURS = 4
-SMALL_REGION = 32
+NEIGHBOURS = 3
+BEST_ROUNDS = 1
+SMALL_REGION = 8
+#: Ids that are sent to all executors at most.
+MOST_BROADCAST = 4_000_000
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 63, SLOTS, dtype=np.int64).astype(U64)
@@ -194,19 +197,18 @@ def components(links: DataFrame) -> DataFrame:
     key and a join.
     """
     star = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star")
+    sums = None
     while True:
         both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u != v").distinct(), "star")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         small = written(hung.select("e.u", "e.v").where("u != v").distinct(), "star")
-        same = small.exceptAll(star).isEmpty() and star.exceptAll(small).isEmpty()
-        dropped(large)
         dropped(star)
-        star = small
-        if same:
+        star, old = small, sums
+        sums = star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", "u"))).first()
+        if sums == old:
             break
     roots = star.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
@@ -226,6 +228,11 @@ def _best(pairs: DataFrame) -> DataFrame:
     return top.select("x.a", "x.b").distinct()
 
 
+def _pairs_of(comp: DataFrame) -> DataFrame:
+    """Components as links, for more to come."""
+    return comp.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def dense_rest(orders: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs across components in the regions that hold more nodes than a neighbourhood.
 
@@ -255,7 +262,9 @@ def dense_rest(orders: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text) of the nodes that the pairs name."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    if named.count() <= MOST_BROADCAST:  # ids of eight bytes; beyond that the texts are shuffled
+        named = F.broadcast(named)
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("text is not null")
     return written(rows.join(named, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
@@ -274,15 +283,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     orders = written(forest(classes), "orders")
     pairs = candidates(orders)
     texts = _texts(docs, pairs)
-    links = written(confirmed(_best(pairs), texts), "links")
-    comp = written(components(links), "comp")
-    links = links.unionByName(written(confirmed(_across(pairs, comp), texts), "links"))
-    comp = written(components(links), "comp")
+    comp = None
+    for _ in range(BEST_ROUNDS):
+        # the heaviest open pair of each node; most of the others fall away as their ends get together
+        best = written(_best(pairs), "best")
+        links = written(confirmed(best, texts), "links")
+        comp = written(components(links if comp is None else links.unionByName(_pairs_of(comp))), "comp")
+        pairs = written(_across(pairs.join(best, ["a", "b"], "left_anti"), comp), "open")
+    links = written(confirmed(pairs, texts), "links")
+    if not links.isEmpty():
+        comp = written(components(links.unionByName(_pairs_of(comp))), "comp")
     rest = dense_rest(orders, comp)
     if rest is not None:
         rest = written(rest.distinct(), "rest")
-        more = confirmed(rest, _texts(docs, rest))
-        comp = written(components(links.unionByName(written(more, "links"))), "comp")
+        links = written(confirmed(rest, _texts(docs, rest)), "links")
+        if not links.isEmpty():
+            comp = written(components(links.unionByName(_pairs_of(comp))), "comp")
     # A class is named by its least doc_id; its component may hold a class of a lesser one only.
     named = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "node").join(comp, "node", "left")
     named = named.select(*sets, F.coalesce("component", "node").alias("component"))
