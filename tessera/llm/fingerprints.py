@@ -17,11 +17,11 @@ are runs of letters and digits, lower-cased. Rows that repeat stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.runs import let
-from tessera.llm.tables import ranked, written
+from tessera.llm.tables import MOST_BROADCAST, joined_side, ranked, written
 
 SUBSETS = 32
 LEAST_DF = 2
@@ -33,7 +33,7 @@ BUCKET = 2048
 def terms(text: Column | str) -> Column:
     """Hashes of the distinct words."""
     words = F.split(F.lower(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.transform(F.array_remove(F.array_distinct(words), ""), lambda w: F.xxhash64(w))
 
 
 def rate_of(terms_: Column) -> Column:
@@ -55,13 +55,21 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 def hashes(terms_: Column, rate: Column) -> Column:
     """For each lexicon of a rate the hash of the sorted terms in it; null if it has none."""
     span = F.call_function("shiftleft", F.lit(SUBSETS).cast("long"), rate)
-    placed = F.transform(F.array_sort(terms_), lambda h: F.struct(F.pmod(h, span).alias("c"), h.alias("h")))
+    first, last = F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")
+    drawn_ = F.filter(terms_, lambda h: F.pmod(h, span) < SUBSETS)
+    placed = F.array_sort(F.transform(drawn_, lambda h: F.struct(F.pmod(h, span).alias("c"), h.alias("h"))))
 
-    def one(all_: Column, c: Column) -> Column:
-        own = F.filter(all_, lambda x: x["c"] == c)
-        return F.when(F.size(own) > 0, F.shiftright(F.xxhash64(F.transform(own, lambda x: x["h"])), 32).cast("int"))
+    def one(c: Column, places: Column, back: Column, own: Column) -> Column:
+        # the terms of a lexicon stand together: from its first place to its last
+        at = F.array_position(places, c).cast("int")
+        n = (F.size(places) + 2 - F.array_position(back, c) - at).cast("int")
+        return F.when(at > 0, F.shiftright(F.xxhash64(F.slice(own, F.greatest(at, F.lit(1)), F.greatest(n, F.lit(0)))), 32).cast("int"))
 
-    return let(placed, lambda all_: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), lambda c: one(all_, c)))
+    def each(all_: Column) -> Column:
+        columns = F.struct(all_["c"].alias("c"), F.reverse(all_["c"]).alias("back"), all_["h"].alias("h"))
+        return let(columns, lambda x: F.transform(F.sequence(first, last), lambda c: one(c, x["c"], x["back"], x["h"])))
+
+    return let(placed, each)
 
 
 def as_text(print_: Column) -> Column:
@@ -81,40 +89,50 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(none(x) & none(y), 1.0).otherwise(F.coalesce(F.when(either > 0, same / F.greatest(either, F.lit(1))), F.lit(0.0)))
 
 
-def prints(sampled: DataFrame, key: list[str], kinds: list[str], n_docs: int, frequency: DataFrame, least_df: int = LEAST_DF, most_share: float = MOST_SHARE) -> DataFrame:
-    """(key, and for each of ``kinds`` the fingerprint struct) from columns ``<kind>_terms`` and ``<kind>_rate``.
+def prints(sampled: DataFrame, key: list[str], kinds: list[str], n_docs: int, frequency: DataFrame, deal: list[str], least_df: int = LEAST_DF, most_share: float = MOST_SHARE) -> DataFrame:
+    """``sampled`` with, for each of ``kinds``, the fingerprint struct in place of columns ``<kind>_terms`` and ``<kind>_rate``.
 
-    Documents without any term have no row.
+    ``sampled`` is dealt out by ``deal``, columns of the key, and so is the result. The terms in the band are
+    sent to all executors if they are few enough; else they meet the drawn terms in a shuffle.
     """
+    rates = [f"{k}_rate" for k in kinds]
+    other = [c for c in sampled.columns if c not in key and not c.endswith("_terms")]
+
     def marked(kind: int) -> Column:
         return F.transform(f"{kinds[kind]}_terms", lambda h: F.struct(F.lit(kind).cast("byte").alias("kind"), h.alias("h")))
 
     def used(kind: int) -> Column:
         own = F.filter("all", lambda x: x["kind"] == kind)
-        banded = F.filter(own, lambda x: x["banded"])
-        return F.transform(F.when(F.size(banded) > 0, banded).otherwise(own), lambda x: x["h"])
+        return let(own, lambda o: let(F.filter(o, lambda x: x["banded"]), lambda banded: F.when(F.size(banded) > 0, banded["h"]).otherwise(o["h"])))
 
-    flat = F.flatten(F.array(*map(marked, range(len(kinds)))))
-    rows = sampled.select(*key, F.explode(flat).alias("x")).select(*key, "x.kind", "x.h")
     most = max(most_share * n_docs, 5.0)
     band = frequency.where((F.col("df") >= least_df) & (F.col("df") <= most)).select("h", F.lit(True).alias("banded"))
-    rows = rows.join(band, "h", "left").groupBy(*key).agg(F.collect_list(F.struct("kind", "h", F.coalesce("banded", F.lit(False)).alias("banded"))).alias("all"))
-    rates = sampled.select(*key, *(f"{k}_rate" for k in kinds))
-    rows = rows.join(rates, key)
+    band = written(band, "band")
+    n_band = band.count()
+    rows = sampled.select(*key, F.struct(*other).alias("other"), F.posexplode_outer(F.flatten(F.array(*map(marked, range(len(kinds)))))).alias("i", "x"))
+    # one row of each key carries the other columns
+    rows = rows.select(*key, F.when(F.coalesce("i", F.lit(0)) == 0, F.col("other")).alias("other"), "x.kind", "x.h")
+    rows = rows.join(joined_side(band, n_band), "h", "left")
+    if n_band > MOST_BROADCAST:
+        rows = rows.repartition(*deal)
+    term = F.when(F.col("h").isNotNull(), F.struct("kind", "h", F.coalesce("banded", F.lit(False)).alias("banded")))
+    rows = rows.groupBy(*key).agg(F.first("other", ignorenulls=True).alias("other"), F.collect_list(term).alias("all"))
+    rows = rows.select(*key, "other.*", "all")
+    def print_(kind: int) -> Column:
+        rate = F.col(rates[kind])
+        return let(used(kind), lambda t: F.struct(rate.alias("rate"), hashes(t, rate).alias("a"), hashes(t, rate + 1).alias("b")))
+
     for i, k in enumerate(kinds):
-        rate = F.col(f"{k}_rate")
-        rows = rows.withColumn(k, F.struct(rate.alias("rate"), hashes(used(i), rate).alias("a"), hashes(used(i), rate + 1).alias("b")))
-    return rows.select(*key, *kinds)
+        rows = rows.withColumn(k, print_(i))
+    return rows.drop("all", *rates)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, at, doc_id, text, next_bucket, next_at, next_text): every document with the next one by descending doc_id.
+    """(bucket, at, doc_id, text, next_bucket, next_text): every document with the next one by descending doc_id.
 
     After the last comes the first. Ids are dealt out in buckets, and sorted there; the seams between
     buckets are a row for each bucket.
     """
-    from pyspark.sql import Window
-
     bucket = F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62)).cast("long"))
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc(), F.col("text").desc())
     rows = docs.select(bucket.alias("bucket"), "doc_id", "text")
@@ -129,7 +147,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     inside = F.col("ahead").isNotNull()
     return out.select(
         "bucket", "at", "doc_id", "text", F.when(inside, F.col("bucket")).otherwise(F.col("next_bucket")).alias("next_bucket"),
-        F.when(inside, F.col("at") + 1).otherwise(1).alias("next_at"), F.when(inside, F.col("ahead.text")).otherwise(F.col("head")).alias("next_text"),
+        F.when(inside, F.col("ahead.text")).otherwise(F.col("head")).alias("next_text"),
     )
 
 
@@ -148,7 +166,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keyed = rows.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "text")
     texts = keyed.dropDuplicates(["h1", "h2"]).withColumn("t", terms("text"))
     sampled = texts.select("h1", "h2", rate_of(F.col("t")).alias("own_rate"), drawn(F.col("t"), rate_of(F.col("t"))).alias("own_terms"))
-    made = prints(written(sampled, "sampled"), ["h1", "h2"], ["own"], n, frequency)
+    made = prints(written(sampled, "sampled"), ["h1", "h2"], ["own"], n, frequency, ["h1", "h2"])
     return keyed.select("doc_id", "h1", "h2").join(made, ["h1", "h2"], "left").select("doc_id", as_text(_or_none(F.col("own"))).alias("fingerprint"))
 
 
@@ -164,16 +182,16 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     pairs = with_next(rows).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    pairs = pairs.select("bucket", "at", "doc_id", "next_bucket", "next_at", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), terms("text").alias("own"), terms("edited").alias("new"))
+    pairs = pairs.select("bucket", "at", "doc_id", "next_bucket", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), terms("text").alias("own"), terms("edited").alias("new"))
     for k in ("own", "new"):
         pairs = pairs.withColumn(f"{k}_rate", rate_of(F.col(k))).withColumn(f"{k}_terms", drawn(F.col(k), F.col(f"{k}_rate"))).drop(k)
-    pairs = written(pairs, "sampled")
-    key = ["bucket", "at"]
-    made = prints(pairs, key, ["own", "new"], pairs.count(), document_frequency(rows))
-    made = pairs.drop("own_terms", "new_terms", "own_rate", "new_rate").join(made, key, "left")
-    made = written(made.withColumn("own", _or_none(F.col("own"))).withColumn("new", _or_none(F.col("new"))), "prints")
-    after = made.select(F.col("bucket").alias("next_bucket"), F.col("at").alias("next_at"), F.col("own").alias("next"))
-    out = made.join(after, ["next_bucket", "next_at"])
+    made = prints(pairs, ["bucket", "at"], ["own", "new"], rows.count(), document_frequency(rows), ["bucket"])
+    ahead = F.lead("own").over(Window.partitionBy("bucket").orderBy("at"))
+    made = written(made.withColumn("next", ahead), "prints")
+    # the last of a bucket goes with the first of the next one
+    heads = made.where("at = 1").select(F.col("bucket").alias("next_bucket"), F.col("own").alias("head"))
+    seams = made.where("next is null").join(heads, "next_bucket").withColumn("next", F.col("head")).drop("head")
+    out = made.where("next is not null").unionByName(seams)
     return out.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),

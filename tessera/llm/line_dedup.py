@@ -11,7 +11,8 @@ copies; the lines that they cover are deleted. As every sub-run of a repeated ru
 repeated, that deletes the maximal repeated runs whole.
 
 Hot lines do no harm: names come from counts by key, which are summed before they are
-shuffled, and go back over joins that can be split.
+shuffled, and go back over joins that can be split. Names, and runs to delete, are sent to all
+executors up to a checked number of rows; beyond it the join shuffles.
 
 Lines are what stands between newlines; blank ones count, though a run of blank lines
 alone is kept. Null texts stay null and have no lines; an empty text has one blank line.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.runs import covered, merged, outside
-from tessera.llm.tables import dropped, ranked, written
+from tessera.llm.tables import dropped, joined_side, ranked, written
 
 MIN_LINES = 2
 WHERE = ["doc_id", "copy", "i"]
@@ -37,20 +38,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, i, n, id, blank): every line's place and id; `copy` tells rows of one doc_id apart."""
     rows = docs.where("text is not null").select("doc_id", "copy", F.split("text", "\n").alias("lines"))
     rows = rows.select("doc_id", "copy", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
-    # two hashes, 128 bits together
-    return rows.select(*WHERE, "n", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), F.reverse("line")).alias("id2"), (F.trim("line") == "").alias("blank"))
+    # two hashes with unlike seeds, 128 bits together
+    return rows.select(*WHERE, "n", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"), (F.trim("line") == "").alias("blank"))
 
 
-def _named(rows: DataFrame, key: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key occurs more than once, with ``name``: the key's place in the order of keys; and those keys."""
+def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The rows whose key occurs more than once, with ``name``: the key's place in the order of keys."""
     keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    keys = ranked(keys, [F.col(k) for k in key], name)
-    return rows.join(keys.select(*key, name), key), keys
+    keys = ranked(keys, [F.col(k) for k in key], name).select(*key, name)
+    return rows.join(joined_side(keys, keys.count()), key)
 
 
 def suffix_names(lines: DataFrame) -> list[tuple[int, DataFrame]]:
     """(h, table) for h = 1, 2, 4, ...: the suffixes whose first h lines (all within the document) recur, with their `name`."""
-    first, _ = _named(lines.select(*WHERE, "n", "blank", "id1", "id2"), ["id1", "id2"], "name")
+    first = _named(lines.select(*WHERE, "n", "blank", "id1", "id2"), ["id1", "id2"], "name")
     levels = [(1, written(first.select(*WHERE, "n", "blank", "name").distinct(), "names"))]
     while True:
         h, now = levels[-1]
@@ -58,7 +59,7 @@ def suffix_names(lines: DataFrame) -> list[tuple[int, DataFrame]]:
         pairs = now.where(F.col("i") + 2 * h <= F.col("n")).join(ahead, WHERE)
         pairs = pairs.select(*WHERE, "n", F.col("name").alias("own"), "next", (F.col("blank") & F.col("next_blank")).alias("blank"))
         pairs = written(pairs, "pairs")
-        named, _ = _named(pairs, ["own", "next"], "name")
+        named = _named(pairs, ["own", "next"], "name")
         named = written(named.select(*WHERE, "n", "blank", "name"), "names")
         dropped(pairs)
         if named.isEmpty():
@@ -104,6 +105,8 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("copy", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
     gone = removals(lines_of(keyed.where("doc_id is not null")), min_lines)
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("runs").alias("_runs"), F.col("longest_run").alias("_longest"))
+    gone = written(gone, "gone")
+    gone = joined_side(gone, gone.agg(F.coalesce(F.sum(F.size("_runs") + 1), F.lit(0))).first()[0])
     key = (F.col("doc_id").cast("long") == F.col("_id")) & (F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0).cast("long")) == F.col("_copy"))
     out = docs.drop("n_lines", "n_removed", "longest_run").join(gone, key, "left")
     out = out.withColumn("_lines", F.split(F.col("text").cast("string"), "\n"))

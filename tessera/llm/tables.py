@@ -43,6 +43,15 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that are sent to all executors at most, a few numbers in each: some 100 MB.
+MOST_BROADCAST = 1_000_000
+
+
+def joined_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as the side of a join: sent to all executors if it has MOST_BROADCAST ``rows`` or fewer, else as it is, for a shuffle."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name``: the 0-based place of each row in the whole order.
 
