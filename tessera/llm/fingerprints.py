@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.runs import let
-from tessera.llm.tables import MOST_BROADCAST, joined_side, ranked, written
+from tessera.llm.tables import ranked, written
 
 SUBSETS = 32
 LEAST_DF = 2
@@ -92,32 +92,34 @@ def likeness(x: Column, y: Column) -> Column:
 def prints(sampled: DataFrame, key: list[str], kinds: list[str], n_docs: int, frequency: DataFrame, deal: list[str], least_df: int = LEAST_DF, most_share: float = MOST_SHARE) -> DataFrame:
     """``sampled`` with, for each of ``kinds``, the fingerprint struct in place of columns ``<kind>_terms`` and ``<kind>_rate``.
 
-    ``sampled`` is dealt out by ``deal``, columns of the key, and so is the result. The terms in the band are
-    sent to all executors if they are few enough; else they meet the drawn terms in a shuffle.
+    ``sampled`` is dealt out by ``deal``, columns of the key, and so is the result. There are one or two ``kinds``. The
+    terms in the band meet the drawn terms in a shuffle, at every size.
     """
     rates = [f"{k}_rate" for k in kinds]
     other = [c for c in sampled.columns if c not in key and not c.endswith("_terms")]
 
-    def marked(kind: int) -> Column:
-        return F.transform(f"{kinds[kind]}_terms", lambda h: F.struct(F.lit(kind).cast("byte").alias("kind"), h.alias("h")))
+    def marked(bits: int, terms_: Column) -> Column:
+        return F.transform(terms_, lambda h: F.struct(F.lit(bits).cast("byte").alias("bits"), h.alias("h")))
 
     def used(kind: int) -> Column:
-        own = F.filter("all", lambda x: x["kind"] == kind)
+        own = F.filter("all", lambda x: x["bits"].bitwiseAND(F.lit(1 << kind).cast("byte")) != 0)
         return let(own, lambda o: let(F.filter(o, lambda x: x["banded"]), lambda banded: F.when(F.size(banded) > 0, banded["h"]).otherwise(o["h"])))
 
     most = max(most_share * n_docs, 5.0)
     band = frequency.where((F.col("df") >= least_df) & (F.col("df") <= most)).select("h", F.lit(True).alias("banded"))
     band = written(band, "band")
-    n_band = band.count()
-    rows = sampled.select(*key, F.struct(*other).alias("other"), F.posexplode_outer(F.flatten(F.array(*map(marked, range(len(kinds)))))).alias("i", "x"))
+    # a term that both kinds drew goes once, with both bits
+    own, *new = (F.col(f"{k}_terms") for k in kinds)
+    marks = [marked(1, F.array_except(own, new[0])), marked(2, F.array_except(new[0], own)), marked(3, F.array_intersect(own, new[0]))] if new else [marked(1, own)]
+    rows = sampled.select(*key, F.struct(*other).alias("other"), F.posexplode_outer(F.flatten(F.array(*marks))).alias("i", "x"))
     # one row of each key carries the other columns
-    rows = rows.select(*key, F.when(F.coalesce("i", F.lit(0)) == 0, F.col("other")).alias("other"), "x.kind", "x.h")
-    rows = rows.join(joined_side(band, n_band), "h", "left")
-    if n_band > MOST_BROADCAST:
-        rows = rows.repartition(*deal)
-    term = F.when(F.col("h").isNotNull(), F.struct("kind", "h", F.coalesce("banded", F.lit(False)).alias("banded")))
+    rows = rows.select(*key, F.when(F.coalesce("i", F.lit(0)) == 0, F.col("other")).alias("other"), "x.bits", "x.h")
+    # the band grows with the vocabulary: always a shuffle, whose large partitions Spark splits
+    rows = rows.join(band.hint("merge"), "h", "left").repartition(*deal)
+    term = F.when(F.col("h").isNotNull(), F.struct("bits", "h", F.coalesce("banded", F.lit(False)).alias("banded")))
     rows = rows.groupBy(*key).agg(F.first("other", ignorenulls=True).alias("other"), F.collect_list(term).alias("all"))
     rows = rows.select(*key, "other.*", "all")
+
     def print_(kind: int) -> Column:
         rate = F.col(rates[kind])
         return let(used(kind), lambda t: F.struct(rate.alias("rate"), hashes(t, rate).alias("a"), hashes(t, rate + 1).alias("b")))
@@ -182,17 +184,18 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     pairs = with_next(rows).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    pairs = pairs.select("bucket", "at", "doc_id", "next_bucket", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), terms("text").alias("own"), terms("edited").alias("new"))
+    pairs = pairs.select("bucket", "at", "doc_id", "next_bucket", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), terms("text").alias("own"), terms("edited").alias("new"))
     for k in ("own", "new"):
         pairs = pairs.withColumn(f"{k}_rate", rate_of(F.col(k))).withColumn(f"{k}_terms", drawn(F.col(k), F.col(f"{k}_rate"))).drop(k)
     made = prints(pairs, ["bucket", "at"], ["own", "new"], rows.count(), document_frequency(rows), ["bucket"])
     ahead = F.lead("own").over(Window.partitionBy("bucket").orderBy("at"))
-    made = written(made.withColumn("next", ahead), "prints")
+    made = made.withColumn("next", ahead).withColumn("near_next", F.when(F.col("next").isNotNull(), likeness(F.col("own"), F.col("next"))))
+    made = written(made.drop("next"), "prints")
     # the last of a bucket goes with the first of the next one
     heads = made.where("at = 1").select(F.col("bucket").alias("next_bucket"), F.col("own").alias("head"))
-    seams = made.where("next is null").join(heads, "next_bucket").withColumn("next", F.col("head")).drop("head")
-    out = made.where("next is not null").unionByName(seams)
+    seams = made.where("near_next is null").join(heads, "next_bucket").withColumn("near_next", likeness(F.col("own"), F.col("head"))).drop("head")
+    out = made.where("near_next is not null").unionByName(seams)
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("new")).alias("near_edited"), "near_next",
     )
