@@ -6,9 +6,11 @@ order, sorted as a whole over all executors, a document's candidates are its
 neighbours whose longest common prefix is two slots or more: where documents are
 sparse a prefix of two slots suffices, where they are dense the neighbours are
 those that agree much deeper. Candidates are confirmed on the full shingle sets.
-Regions too dense for the neighbourhood that still hold several components are
-taken apart at growing depth until each is small, and what differs there is compared
-as well; at the last depth all of it is, so no number of partners is capped.
+Regions too dense for the neighbourhood that still hold several components are compared
+as a whole, on the full sets, and no number of partners is capped: small ones pair by pair, larger
+ones in blocks. Only regions of more than LARGE_REGION nodes are taken apart first,
+by FRESH_ORDERS orders of slots that nothing else uses, so many that a pair at similarity 0.75 parts in all
+of them with a chance below MISS.
 
 Null and empty texts have no shingles and are linked with nothing. Texts with
 equal sets are one node (a class), however many copies there are. Rows that repeat
@@ -18,6 +20,7 @@ input pass through `deduplicated` unchanged, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +39,22 @@ DEPTH = 12
 LEAST_DEPTH = 2
 NEIGHBOURS = 3
 BEST_ROUNDS = 1
-SMALL_REGION = 8
+#: Regions of so many nodes are compared pair by pair, larger ones in blocks of BLOCK by BLOCK nodes.
+SMALL_REGION = 32
+BLOCK = 512
+#: Regions of more nodes are dealt anew by fresh slots.
+LARGE_REGION = 8192
+FRESH_DEPTH = 6
+MISS = 1e-5
+FRESH_ORDERS = math.ceil(math.log(MISS) / math.log(1 - 0.75**FRESH_DEPTH))
 #: Ids that are sent to all executors at most.
 MOST_BROADCAST = 4_000_000
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 63, SLOTS, dtype=np.int64).astype(U64)
 _MUL = _rng.integers(0, 1 << 63, SLOTS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_FRESH_XOR = _rng.integers(0, 1 << 63, FRESH_ORDERS * FRESH_DEPTH, dtype=np.int64).astype(U64)
+_FRESH_MUL = _rng.integers(0, 1 << 63, FRESH_ORDERS * FRESH_DEPTH, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _PLACE = mixed(np.arange(SHINGLE, dtype=U64) + U64(31)) | U64(1)
 
 
@@ -72,11 +84,11 @@ def shingle_sets(column: pa.Array, words: int = SHINGLE) -> Iterator[np.ndarray]
                     yield np.empty(0, dtype=U64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(SLOTS, ~U64(0), dtype=U64)
+def signature(shingles: np.ndarray, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
+    least = np.full(len(xor), ~U64(0), dtype=U64)
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), 4096):
-            block = (shingles[None, at : at + 4096] ^ _XOR[:, None]) * _MUL[:, None]
+            block = (shingles[None, at : at + 4096] ^ xor[:, None]) * mul[:, None]
             np.minimum(least, block.min(axis=1), out=least)
     return (least >> U64(32)).astype(np.uint32).view(np.int32)
 
@@ -233,31 +245,106 @@ def _pairs_of(comp: DataFrame) -> DataFrame:
     return comp.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
-def dense_rest(orders: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs across components in the regions that hold more nodes than a neighbourhood.
+def _mixed(rows: DataFrame, comp: DataFrame, least: int) -> DataFrame:
+    """The rows (tree, prefix, node, n) of regions of more than ``least`` nodes in several components, with component and the region's size."""
+    region = ["tree", "prefix"]
+    rows = rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = rows.groupBy(*region).agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    sizes = sizes.where((F.col("size") > least) & (F.col("c0") != F.col("c1"))).drop("c1")
+    return written(rows.select(*region, "node", "n", "component").join(sizes, region), "dense")
 
-    A region is split by one slot more at a time until it has SMALL_REGION nodes at most; at the
-    last depth it is taken as it is. In each, the nodes outside its first
-    component meet all nodes of other components.
+
+def _pairs_within(rows: DataFrame) -> DataFrame:
+    """(a, b): the pairs across components in each region; nodes outside its first component meet all nodes of others."""
+    region = ["tree", "prefix"]
+    one = rows.where("component != c0").select(*region, F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    two = rows.select(*region, F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    pairs = one.join(two, region).where("cx != cy and 100 * least(nx, ny) >= 75 * greatest(nx, ny)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+            slots = signature(s, _FRESH_XOR, _FRESH_MUL).reshape(FRESH_ORDERS, FRESH_DEPTH).astype(np.int64)
+            with np.errstate(over="ignore"):
+                prefix = mixed((slots.view(U64) * mixed(np.arange(FRESH_DEPTH, dtype=U64))).sum(axis=1)).view(np.int64)
+            tree = np.arange(TREES, TREES + FRESH_ORDERS, dtype=np.int32)
+            k = FRESH_ORDERS
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(prefix), pa.array(np.full(k, node)), pa.array(np.full(k, len(s)))], names=["tree", "prefix", "node", "n"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "set"])
+
+
+def _compared(rows: pa.Table) -> pa.Table:
+    """The links between the nodes of either side of a block that are in unlike components."""
+    side, node, component = (rows.column(c).to_numpy() for c in ("side", "node", "component"))
+    node, first, index = np.unique(node, return_index=True, return_inverse=True)
+    component = component[first]
+    x, y = index[side == 1], index[side == 0]
+    binary = rows.column("set").take(pa.array(first)).to_pylist()
+    sets = [np.frombuffer(s, dtype=U64) for s in binary]
+    n = np.array([len(s) for s in sets])
+    _, ids, copies = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = copies > 1  # what one node alone has is in no intersection
+    width = int(shared.sum())
+    keep = shared[ids]
+    column, row = (np.cumsum(shared) - 1)[ids[keep]], np.repeat(np.arange(len(sets)), n)[keep]
+    sort = np.argsort(column, kind="stable")
+    column, row = column[sort], row[sort]
+    both = np.zeros((len(x), len(y)), dtype=np.float32)  # whole numbers below 2^24
+    for at in range(0, width, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        has = np.zeros((len(sets), min(4096, width - at)), dtype=np.float32)
+        has[row[lo:hi], column[lo:hi] - at] = 1
+        both += has[x] @ has[y].T
+    both = both.astype(np.int64)
+    ok = (100 * both >= 75 * (n[x][:, None] + n[y] - both)) & (component[x][:, None] != component[y])
+    i, j = np.nonzero(ok)
+    a, b = node[x[i]], node[y[j]]
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _links_within(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the confirmed links across components in each region, all of it compared in blocks.
+
+    The nodes outside its largest component meet all nodes.
     """
-    rows = orders.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    out = None
-    for depth in range(LEAST_DEPTH, DEPTH + 1):
-        region = ["tree", "prefix"]
-        rows = rows.withColumn("prefix", F.xxhash64(F.slice("key", 1, depth)))
-        sizes = rows.groupBy(*region).agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        sizes = sizes.where((F.col("size") > NEIGHBOURS + 1) & (F.col("c0") != F.col("c1"))).drop("c1")
-        left = written(rows.drop("size", "c0").join(sizes, region), "dense")
-        if left.isEmpty():
-            break
-        now = left if depth == DEPTH else left.where(F.col("size") <= SMALL_REGION)
-        one = now.where("component != c0").select(*region, F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-        two = now.select(*region, F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-        pairs = one.join(two, region).where("cx != cy and 100 * least(nx, ny) >= 75 * greatest(nx, ny)")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        out = pairs if out is None else out.unionByName(pairs)
-        rows = left.where(F.col("size") > SMALL_REGION).drop("prefix")
-    return out
+    region = ["tree", "prefix"]
+    parts = rows.groupBy(*region, "component").agg(F.count(F.lit(1)).alias("own"))
+    main = parts.groupBy(*region).agg(F.max(F.struct("own", "component")).alias("main"), F.sum("own").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select(*region, F.col("main.component").alias("largest"), blocks(F.col("all") - F.col("main.own")).alias("k1"), blocks(F.col("all")).alias("k2"))
+    rows = rows.select(*region, "node", "component").join(main, region)
+    block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    one = rows.where("component != largest").select(*region, "node", "component", F.lit(1).alias("side"), block("k1").alias("i"), every("k2").alias("j"))
+    two = rows.select(*region, "node", "component", F.lit(0).alias("side"), every("k1").alias("i"), block("k2").alias("j"))
+    dealt = one.unionByName(two).join(texts.mapInArrow(_sets, "node long, set binary"), "node")
+    return dealt.groupBy(*region, "i", "j").applyInArrow(_compared, "a long, b long").distinct()
+
+
+def dense_links(docs: DataFrame, orders: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): the links across components in the regions that hold more nodes than a neighbourhood."""
+    named = lambda rows: rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    dense = _mixed(orders.select("tree", F.xxhash64(F.slice("key", 1, LEAST_DEPTH)).alias("prefix"), "node", "n"), comp, NEIGHBOURS + 1)
+    pairs = _pairs_within(dense.where(F.col("size") <= SMALL_REGION))
+    broad = dense.where((F.col("size") > SMALL_REGION) & (F.col("size") <= LARGE_REGION))
+    large = dense.where(F.col("size") > LARGE_REGION)
+    links = None
+    if not large.isEmpty():
+        fresh = _mixed(written(_texts(docs, named(large)).mapInArrow(_fresh, "tree int, prefix long, node long, n long"), "fresh"), comp, 1)
+        pairs = pairs.unionByName(_pairs_within(fresh.where(F.col("size") <= SMALL_REGION)))
+        broad = broad.unionByName(fresh.where(F.col("size") > SMALL_REGION))
+    if not broad.isEmpty():
+        links = written(_links_within(broad, _texts(docs, named(broad))), "links")
+    pairs = written(pairs.distinct(), "rest")
+    found = written(confirmed(pairs, _texts(docs, pairs)), "links")
+    return found if links is None else found.unionByName(links)
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -293,12 +380,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(confirmed(pairs, texts), "links")
     if not links.isEmpty():
         comp = written(components(links.unionByName(_pairs_of(comp))), "comp")
-    rest = dense_rest(orders, comp)
-    if rest is not None:
-        rest = written(rest.distinct(), "rest")
-        links = written(confirmed(rest, _texts(docs, rest)), "links")
-        if not links.isEmpty():
-            comp = written(components(links.unionByName(_pairs_of(comp))), "comp")
+    links = dense_links(docs, orders, comp)
+    if not links.isEmpty():
+        comp = written(components(links.unionByName(_pairs_of(comp))), "comp")
     # A class is named by its least doc_id; its component may hold a class of a lesser one only.
     named = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "node").join(comp, "node", "left")
     named = named.select(*sets, F.coalesce("component", "node").alias("component"))

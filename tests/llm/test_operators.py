@@ -57,6 +57,48 @@ def test_near_duplicates(docs, none):
     assert minhash_dedup.deduplicated(docs).columns == docs.columns
 
 
+def variants(n):
+    """2n texts: n variants of one text at some 0.66 to each other, and of each another one at some 0.77."""
+    r = random.Random(7)
+    base = [f"v{i}" for i in range(200)]
+
+    def changed(text, k):
+        out = list(text)
+        for at in r.sample(range(200), k):
+            out[at] = f"x{r.random()}"
+        return out
+
+    ones = [changed(base, 4) for _ in range(n)]
+    return [(i, " ".join(t)) for i, t in enumerate([*ones, *(changed(t, 5) for t in ones)])]
+
+
+def brute_components(rows):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 100 * both >= 75 * (len(x) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("large, n", [(minhash_dedup.LARGE_REGION, 300), (60, 80)])
+def test_links_in_dense_regions(spark, monkeypatch, large, n):
+    monkeypatch.setattr(minhash_dedup, "LARGE_REGION", large)
+    rows = variants(n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+
+
 def brute_lines(least):
     seen, out = set(), {}
     for i, t in sorted((x for x in TEXTS if x[0] is not None), key=lambda x: x[0]):
