@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go; every document stays."""
-    out = line_dedup.deduplicated(docs)
+    """Later copies of line runs, and of single lines that are long, go; every document stays."""
+    out = line_dedup.deduplicated(docs, long_words=line_dedup.LONG_WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT)
 
 

@@ -8,7 +8,8 @@ round; the others have their place in the array. The suffixes with one name are
 a longest-common-prefix interval: they share h lines at least. In each interval of
 at least ``min_lines`` lines all but the first copy, by (doc_id, line), are later
 copies; the lines that they cover are deleted. As every sub-run of a repeated run is
-repeated, that deletes the maximal repeated runs whole.
+repeated, that deletes the maximal repeated runs whole. With ``long_words`` later copies of single lines
+of at least so many words go too.
 
 Hot lines do no harm: names come from counts by key, which are summed before they are
 shuffled, and go back over joins that can be split. Names, and runs to delete, are sent to all
@@ -31,15 +32,18 @@ from tessera.llm.runs import covered, merged, outside
 from tessera.llm.tables import dropped, joined_side, ranked, written
 
 MIN_LINES = 2
+#: Words of a line that is a passage by itself.
+LONG_WORDS = 25
 WHERE = ["doc_id", "copy", "i"]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, i, n, id, blank): every line's place and id; `copy` tells rows of one doc_id apart."""
+def lines_of(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """(doc_id, copy, i, n, id, blank, and long with ``long_words``): every line's place and id; `copy` tells rows of one doc_id apart."""
     rows = docs.where("text is not null").select("doc_id", "copy", F.split("text", "\n").alias("lines"))
     rows = rows.select("doc_id", "copy", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
     # two hashes with unlike seeds, 128 bits together
-    return rows.select(*WHERE, "n", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"), (F.trim("line") == "").alias("blank"))
+    long = [] if long_words is None else [(F.size(F.split(F.trim("line"), r"\s+")) >= long_words).alias("long")]
+    return rows.select(*WHERE, "n", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"), (F.trim("line") == "").alias("blank"), *long)
 
 
 def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -51,8 +55,9 @@ def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
 
 def suffix_names(lines: DataFrame) -> list[tuple[int, DataFrame]]:
     """(h, table) for h = 1, 2, 4, ...: the suffixes whose first h lines (all within the document) recur, with their `name`."""
-    first = _named(lines.select(*WHERE, "n", "blank", "id1", "id2"), ["id1", "id2"], "name")
-    levels = [(1, written(first.select(*WHERE, "n", "blank", "name").distinct(), "names"))]
+    long = [c for c in lines.columns if c == "long"]
+    first = _named(lines.select(*WHERE, "n", "blank", *long, "id1", "id2"), ["id1", "id2"], "name")
+    levels = [(1, written(first.select(*WHERE, "n", "blank", *long, "name").distinct(), "names"))]
     while True:
         h, now = levels[-1]
         ahead = now.select("doc_id", "copy", (F.col("i") - h).alias("i"), F.col("name").alias("next"), F.col("blank").alias("next_blank"))
@@ -68,21 +73,23 @@ def suffix_names(lines: DataFrame) -> list[tuple[int, DataFrame]]:
 
 
 def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, copy, i, h): suffixes whose first h lines have a copy before them, for h from min_lines on."""
+    """(doc_id, copy, i, h): suffixes whose first h lines have a copy before them, for h from min_lines on, and for h = 1 where the line is long."""
     levels = suffix_names(lines)
     base = 1 << (min_lines.bit_length() - 1)  # the largest power of two that is no larger
     out = []
     for h, names in levels:
         if h < base:
-            continue
-        if h == base != min_lines:
+            if h > 1 or "long" not in names.columns:
+                continue
+            names, key, length = names.where("long"), ["name"], 1
+        elif h == base != min_lines:
             # min_lines is no power of two: two overlapping runs of `base` lines name it
             ahead = names.select("doc_id", "copy", (F.col("i") - (min_lines - base)).alias("i"), F.col("name").alias("next"), F.col("blank").alias("next_blank"))
             names = names.join(ahead, WHERE).withColumn("blank", F.col("blank") & F.col("next_blank"))
             key, length = ["name", "next"], min_lines
         else:
             key, length = ["name"], h
-        if length < min_lines:
+        if length < min_lines and h >= base:
             continue
         at = F.struct(*WHERE)
         first = names.where("not blank").groupBy(*key).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
@@ -100,10 +107,10 @@ def removals(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return runs.withColumn("longest_run", F.array_max(F.transform("runs", lambda r: r["until"] - r["from"])))
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from `text`, and n_lines, n_removed, longest_run added (or replaced)."""
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """``docs`` with later copies of repeated line runs (and of lines of ``long_words`` and more) deleted from `text`, and n_lines, n_removed, longest_run added (or replaced)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("copy", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
-    gone = removals(lines_of(keyed.where("doc_id is not null")), min_lines)
+    gone = removals(lines_of(keyed.where("doc_id is not null"), long_words), min_lines)
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("runs").alias("_runs"), F.col("longest_run").alias("_longest"))
     gone = written(gone, "gone")
     gone = joined_side(gone, gone.agg(F.coalesce(F.sum(F.size("_runs") + 1), F.lit(0))).first()[0])

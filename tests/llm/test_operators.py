@@ -122,6 +122,16 @@ def test_line_dedup(docs, none, least):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("least", [2, 3, 4])
+def test_long_single_lines(spark, least):
+    long, short = sentence(30), sentence(24)
+    texts = {i: f"before {i}\n{long}\nbetween {i}\n{short}\nafter {i}" for i in (1, 2, 3)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(df, least, long_words=25).collect()}
+    assert got == {i: t if i == 1 else t.replace(f"{long}\n", "") for i, t in texts.items()}
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(df, least).collect()} == texts
+
+
 def test_substring_dedup(spark, docs, none):
     one, two, three, four = "First of the sentences here. ", "Second one that is longer. ", "The third has its words too. ", "Another."
     df = spark.createDataFrame([(1, one + two + three), (2, four + " " + one + two + three + four), (3, None), (4, "")], "doc_id long, text string")
