@@ -5,8 +5,8 @@ candidate strings (runs of token characters of 20 and more) in which some window
 of 20 characters has a Shannon entropy, for the character class of the string (hex,
 alphanumeric, base64), over that class's threshold. Entropy slides along by the counts
 that change: one character comes, one goes. Candidates on the allow-list (digests of
-known shape, identifiers, words) and such that lie within a pattern's span are
-suppressed; spans of patterns always stay.
+known shape, identifiers, words) and such that lie as a whole within one pattern's span are
+suppressed; one that only overlaps a span is reported whole. Spans of patterns always stay.
 
 Null and empty texts have no spans. Rows that repeat stay. Offsets are code points, the
 end is exclusive. Other columns are ignored.
@@ -82,7 +82,7 @@ def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if any(p.fullmatch(s) for p in ALLOWED) or any(a < m.end() and m.start() < b for a, b, _ in taken):
+        if any(p.fullmatch(s) for p in ALLOWED) or any(a <= m.start() and m.end() <= b for a, b, _ in taken):
             continue
         least = next(bits for _, chars, bits in CLASSES if chars.fullmatch(s))
         if top_entropy(s) > least:

@@ -168,6 +168,13 @@ def test_secrets(spark, none):
     assert secret_scans.secrets(none).count() == 0
 
 
+def test_secret_around_a_pattern(spark):
+    key = "Zx9Qw7Lp2Rt5Vb8NmZ" + "0123456789abcdef01234567" + "Kd4Hs6Gf1Jy0Uc5Xe2"
+    alone = "0123456789abcdef01234567"
+    got = {r.doc_id: r.spans for r in secret_scans.secrets(spark.createDataFrame([(1, f"key {key} end"), (2, f"key {alone} end")], "doc_id long, text string")).collect()}
+    assert got == {1: "entropy:4:64,hex:22:46", 2: "hex:4:28"}
+
+
 def test_entropy_slides():
     from collections import Counter
     from math import log2
