@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontamination, fingerprints, line_dedup, minhash_dedup, quality, secret_scans, substring_dedup, token_counts, url_filters
 from tessera.llm.tables import read, shared_folder
 
-#: The tokenizer files of this machine; any file of the tokenizers library will do.
-TOKENIZERS = "/opt/tokenizers"
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+#: A tokenizer file that every machine has. `bpe` refuses files that split text otherwise.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
