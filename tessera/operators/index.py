@@ -1,4 +1,4 @@
-"""An index as versioned tables: every change writes new tables, and then a pointer names them."""
+"""An index that grows by deltas: every change writes what is new, and a log entry that counts it in."""
 
 from __future__ import annotations
 
@@ -9,11 +9,18 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tessera.functions.text import terms
 from tessera.operators import chunking, sparse
-from tessera.operators.embeddings import Embeddings, HashingEmbeddings
+from tessera.operators.embeddings import Embeddings, default_embeddings
+from tessera.sources.journal import Journal
 
-TABLES = ("registry", "chunks", "vectors", "postings", "vocab", "corpus_stats")
+TABLES = ("registry", "chunks", "vectors", "postings")
+
+
+class Changed(RuntimeError):
+    """Another writer has changed the index meanwhile; nothing was done."""
 
 
 def fresh(batch: DataFrame, known: DataFrame) -> DataFrame:
@@ -27,95 +34,162 @@ class Manager:
 
     A document whose id and content are known is skipped; one whose id is known is replaced. With
     ``replace_by_source`` a document also replaces what its source held before.
+
+    A change is a segment: its own rows of every table, and the doc_ids whose rows in earlier segments are gone. Readers see the segments
+    that the latest log entry names, so a change shows as a whole. Corpus statistics are kept by differences. `compact` makes
+    one segment of all. What the scores depend on (BM25's parameters, the metric) is kept with the index; another
+    choice for an index that exists is an error.
     """
 
     spark: SparkSession
     path: str
-    embeddings: Embeddings = field(default_factory=HashingEmbeddings)
+    embeddings: Embeddings = field(default_factory=default_embeddings)
     chunk: Callable[[DataFrame], DataFrame] = chunking.recursive_chunks
-    params: sparse.BM25 = field(default_factory=sparse.BM25)
-    metric: str = "cosine"
+    params: sparse.BM25 | None = None
+    metric: str | None = None
     replace_by_source: bool = False
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _files(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def version(self) -> str | None:
-        """The latest version that is complete."""
-        fs, root = self._files(), self._path("current")
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return max(names, default=None)
+    def __post_init__(self) -> None:
+        self.journal = Journal(self.spark, self.path)
+        said = self.journal.latest()[1].get("params")
+        kept = sparse.BM25(said["k1"], said["b"], None if said["stopwords"] is None else tuple(said["stopwords"])) if said else None
+        for given, has in ((self.params, kept), (self.metric, said and said["metric"])):
+            if has is not None and given is not None and given != has:
+                raise ValueError(f"the index at {self.path} was made with {has}, not {given}")
+        self.params = kept or self.params or sparse.BM25()
+        self.metric = (said and said["metric"]) or self.metric or "cosine"
+
+    def _state(self) -> tuple[int, dict[str, Any]]:
+        version, state = self.journal.latest()
+        return version, state or {"segments": [], "schemas": {}, "documents": 0, "chunks": 0, "terms": 0, "replaced": []}
+
+    def version(self) -> int:
+        return self.journal.latest()[0]
+
+    def _rows(self, name: str, state: dict[str, Any]) -> DataFrame | None:
+        paths = [f"{self.path}/{name}/seq={s['seq']}/run={s['run']}" for s in state["segments"] if name in s["tables"]]
+        if not paths:
+            return None
+        schema = StructType.fromJson(state["schemas"][name]).add("seq", "long").add("run", "string")
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths).drop("run")
+
+    def _live(self, name: str, state: dict[str, Any]) -> DataFrame | None:
+        rows, gone = self._rows(name, state), self._rows("gone", state)
+        if rows is None or gone is None:
+            return rows if rows is None else rows.drop("seq")
+        last = gone.groupBy("doc_id").agg(F.max("seq").alias("gone"))
+        return rows.join(last, "doc_id", "left").where("gone is null or seq >= gone").select(*(c for c in rows.columns if c != "seq"))
 
     def table(self, name: str) -> DataFrame | None:
-        version = self.version()
-        return self.spark.read.parquet(f"{self.path}/{version}/{name}") if version else None
-
-    def _publish(self, tables: dict[str, DataFrame]) -> None:
-        """Writes a version; its name in ``current``, made at once, is what readers go by."""
-        last = self.version()
-        version = f"{int(last.split('-')[0]) + 1 if last else 0:012d}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
-        self._files().create(self._path(f"current/{version}")).close()
-
-    def _rebuilt(self, registry: DataFrame, chunks: DataFrame, vectors: DataFrame) -> None:
-        """Publishes tables with the inverted index of these chunks."""
-        base = f"{self.path}/work-{uuid.uuid4().hex}"
-        kept = {}
-        for name, df in (("registry", registry), ("chunks", chunks), ("vectors", vectors)):
-            df.write.parquet(f"{base}/{name}")
-            kept[name] = self.spark.read.schema(df.schema).parquet(f"{base}/{name}")
-        index = sparse.build(kept["chunks"], self.params)
-        self._publish(kept | {"postings": index.postings, "vocab": index.vocab, "corpus_stats": index.corpus_stats})
-        self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(base), True)
+        """The live rows of registry, chunks, vectors or postings; None before the first change."""
+        return self._live(name, self._state()[1])
+
+    def _write(self, name: str, df: DataFrame, segment: dict[str, Any], state: dict[str, Any]) -> DataFrame:
+        """Writes a table of a segment, and returns it as it was written."""
+        path = f"{self.path}/{name}/seq={segment['seq']}/run={segment['run']}"
+        df.write.parquet(path)
+        segment["tables"].append(name)
+        had = StructType.fromJson(state["schemas"][name]) if name in state["schemas"] else StructType()
+        more = [f for f in df.schema.fields if f.name not in had.names]
+        state["schemas"][name] = StructType(had.fields + more).jsonValue()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _publish(self, version: int, state: dict[str, Any]) -> None:
+        p = self.params
+        state["params"] = {"k1": p.k1, "b": p.b, "stopwords": None if p.stopwords is None else list(p.stopwords), "metric": self.metric}
+        state["dimension"] = self.embeddings.dimension
+        if not self.journal.advance(version + 1, state):
+            raise Changed(self.path)
+
+    def _segment(self, version: int) -> dict[str, Any]:
+        return {"seq": version + 1, "run": uuid.uuid4().hex, "tables": []}
+
+    def _without(self, gone: DataFrame, state: dict[str, Any]) -> None:
+        """Takes documents (rows of the registry) out of the statistics."""
+        n, chunks, words = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("chunk_count"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+        state["documents"], state["chunks"], state["terms"] = state["documents"] - n, state["chunks"] - chunks, state["terms"] - words
 
     def index(self) -> sparse.Index:
-        return sparse.Index(self.table("postings"), self.table("vocab"), self.table("corpus_stats"), self.params)
+        state = self._state()[1]
+        return sparse.Index(self._live("postings", state).drop("doc_id"), state["chunks"], state["terms"] / max(state["chunks"], 1), self.params)
 
     def index_documents(self, docs: DataFrame, force: bool = False) -> dict[str, int]:
         """Adds documents (doc_id, doc_hash, text, ...). Of an id that a batch repeats one document is taken."""
+        version, state = self._state()
+        if state["segments"] and state["dimension"] != self.embeddings.dimension:
+            # vectors of another model are of no use
+            state |= {"replaced": [*state["replaced"], *state["segments"]], "segments": [], "schemas": {}, "documents": 0, "chunks": 0, "terms": 0}
+        known = self._live("registry", state)
         batch = docs.dropDuplicates(["doc_id"])
-        known, chunks, vectors = (self.table(t) for t in ("registry", "chunks", "vectors"))
-        width = vectors.select(F.size("embedding").alias("n")).first() if vectors is not None else None
-        if width and width.n != self.embeddings.dimension:
-            known = chunks = vectors = None  # vectors of another model are of no use
         new = batch if known is None or force else fresh(batch, known)
-        made = self.chunk(new)
-        # chunks as they are stored: written once, read by all that follows
-        base = f"{self.path}/work-{uuid.uuid4().hex}"
-        made.write.parquet(f"{base}/chunks")
-        made = self.spark.read.schema(made.schema).parquet(f"{base}/chunks")
-        new_vectors = made.select("chunk_id", "doc_id", self.embeddings.documents("content").alias("embedding"))
-        counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+        segment = self._segment(version)
+        made = self.chunk(new).withColumn("doc_len", F.coalesce(F.size(terms("content", self.params.stopwords)), F.lit(0)))
+        made = self._write("chunks", made, segment, state)
+        counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"), F.sum("doc_len").alias("terms"))
         optional = [c for c in ("source", "filename", "modified_at") if c in new.columns]
         entries = new.select("doc_id", "doc_hash", *optional).join(counts, "doc_id").withColumn("indexed_at", F.current_timestamp())
-        n_new, n_batch = entries.count(), docs.count()
-        n_chunks = made.count()
-        if known is not None:
-            gone = entries.select("doc_id")
-            if self.replace_by_source and "source" in known.columns and "source" in entries.columns:
-                gone = gone.unionByName(known.join(entries.select("source").distinct(), "source", "left_semi").select("doc_id")).distinct()
-            keep = lambda df: df.join(gone, "doc_id", "left_anti")
-            entries, made, new_vectors = (keep(old).unionByName(added, allowMissingColumns=True) for old, added in ((known, entries), (chunks, made), (vectors, new_vectors)))
-        if n_new or known is None:
-            self._rebuilt(entries, made, new_vectors)
-        self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(base), True)
-        return {"indexed_documents": n_new, "skipped_documents": n_batch - n_new, "new_chunks": n_chunks, "total_chunks": self.table("chunks").count(), "total_documents": self.table("registry").count()}
+        entries = self._write("registry", entries, segment, state)
+        n_batch = docs.count()
+        n_new, n_chunks, words = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum("chunk_count"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+        first = not state["segments"]
+        if n_new or first:
+            self._write("vectors", made.select("chunk_id", "doc_id", self.embeddings.documents("content").alias("embedding")), segment, state)
+            tokens = sparse.lengths(made.select("chunk_id", "content"), self.params.stopwords)
+            doc = made.select("chunk_id", "doc_id")
+            self._write("postings", sparse.postings_of(tokens).join(doc, "chunk_id"), segment, state)
+            if known is not None:
+                same = known.join(entries.select("doc_id"), "doc_id", "left_semi")
+                if self.replace_by_source and "source" in known.columns and "source" in entries.columns:
+                    same = same.unionByName(known.join(entries.select("source").distinct(), "source", "left_semi")).dropDuplicates(["doc_id"])
+                gone = self._write("gone", same.select("doc_id", "chunk_count", "terms"), segment, state)
+                self._without(gone, state)
+            state["documents"], state["chunks"], state["terms"] = state["documents"] + n_new, state["chunks"] + n_chunks, state["terms"] + words
+            state["segments"].append(segment)
+            self._publish(version, state)
+        else:
+            self._drop(segment)
+        return {"indexed_documents": n_new, "skipped_documents": n_batch - n_new, "new_chunks": n_chunks, "total_chunks": state["chunks"], "total_documents": state["documents"]}
+
+    def delete_documents(self, ids: DataFrame) -> int:
+        """Takes out the documents that ``ids`` (doc_id) name; how many there were."""
+        version, state = self._state()
+        known = self._live("registry", state)
+        if known is None:
+            return 0
+        segment, before = self._segment(version), state["documents"]
+        gone = self._write("gone", known.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_count", "terms"), segment, state)
+        self._without(gone, state)
+        if state["documents"] == before:
+            self._drop(segment)
+            return 0
+        state["segments"].append(segment)
+        self._publish(version, state)
+        return before - state["documents"]
 
     def delete_document(self, doc_id: Any) -> bool:
-        registry = self.table("registry")
-        if registry is None or registry.where(F.col("doc_id") == doc_id).isEmpty():
-            return False
-        rest = [self.table(t).where(F.col("doc_id") != doc_id) for t in ("registry", "chunks", "vectors")]
-        self._rebuilt(*rest)
-        return True
+        known = self.table("registry")
+        return known is not None and self.delete_documents(known.where(F.col("doc_id") == doc_id).select("doc_id")) > 0
+
+    def _drop(self, segment: dict[str, Any]) -> None:
+        for name in segment["tables"]:
+            self.journal.delete(f"{name}/seq={segment['seq']}/run={segment['run']}")
+
+    def compact(self) -> None:
+        """Makes one segment of the live rows. The segments before stay until the next time, for readers that are not done."""
+        version, state = self._state()
+        segment = self._segment(version)
+        for name in TABLES:
+            if (rows := self._live(name, state)) is not None:
+                self._write(name, rows, segment, state)
+        old, state["replaced"], state["segments"] = state["replaced"], state["segments"], [segment]
+        self._publish(version, state)
+        for s in old:
+            self._drop(s)
 
     def stats(self) -> DataFrame:
         """One row."""
-        chunks, n = self.table("chunks"), self.table("registry").count()
-        corpus = self.table("corpus_stats").first()
-        row = (n, chunks.count(), self.embeddings.dimension, self.metric, self.table("vocab").count(), round(corpus.avgdl, 2), self.path)
+        state = self._state()[1]
+        postings = self._live("postings", state)
+        words = postings.select("term").distinct().count() if postings is not None else 0
+        row = (state["documents"], state["chunks"], self.embeddings.dimension, self.metric, words, round(state["terms"] / max(state["chunks"], 1), 2), self.path)
         return self.spark.createDataFrame([row], "total_documents long, total_chunks long, embedding_dimension int, vector_store_metric string, bm25_vocabulary_size long, bm25_avg_doc_len double, index_directory string")

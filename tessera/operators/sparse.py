@@ -21,24 +21,52 @@ class BM25:
     stopwords: tuple[str, ...] | None = None
 
 
+#: (query, term) rows that are sent to all executors at most: a few MB.
+MOST_ASKED = 100_000
+
+
 @dataclass
 class Index:
-    """postings (term, chunk_id, tf, doc_len), vocab (term, df, idf), corpus_stats (n, avgdl: one row)."""
+    """occurrences (term, chunk_id, doc_len, tf), in which a term may have several rows for a chunk; the number of chunks, and their mean length."""
 
-    postings: DataFrame
-    vocab: DataFrame
-    corpus_stats: DataFrame
+    occurrences: DataFrame
+    n: int
+    avgdl: float
     params: BM25
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, doc_len, tf)."""
+        return summed(self.occurrences)
+
+    @property
+    def vocab(self) -> DataFrame:
+        """(term, df, idf)."""
+        return vocab_of(self.postings, self.n)
+
+    @property
+    def corpus_stats(self) -> DataFrame:
+        """(n, avgdl): one row."""
+        return self.occurrences.sparkSession.createDataFrame([(self.n, self.avgdl)], "n long, avgdl double")
+
 
 def lengths(chunks: DataFrame, stopwords: Iterable[str] | None = None) -> DataFrame:
     """(chunk_id, tokens, doc_len) of chunks (chunk_id, content)."""
     return chunks.select("chunk_id", F.coalesce(terms("content", stopwords), F.array().cast("array<string>")).alias("tokens")).withColumn("doc_len", F.size("tokens"))
 
 
+def occurrences_of(tokens: DataFrame) -> DataFrame:
+    """A row for each term of each chunk; nothing is shuffled."""
+    return tokens.select(F.explode("tokens").alias("term"), "chunk_id", "doc_len", F.lit(1).cast("long").alias("tf"))
+
+
+def summed(occurrences: DataFrame) -> DataFrame:
+    return occurrences.groupBy("term", "chunk_id", "doc_len").agg(F.sum("tf").alias("tf"))
+
+
 def postings_of(tokens: DataFrame) -> DataFrame:
     """Counts of terms within each chunk."""
-    return tokens.select("chunk_id", "doc_len", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    return summed(occurrences_of(tokens))
 
 
 def stats_of(tokens: DataFrame) -> DataFrame:
@@ -53,27 +81,27 @@ def vocab_of(postings: DataFrame, n: int) -> DataFrame:
 
 
 def build(chunks: DataFrame, params: BM25 = BM25()) -> Index:
+    """An index of chunks (chunk_id, content): one action for the statistics; the terms are counted where they are asked for."""
     tokens = lengths(chunks, params.stopwords)
-    stats = stats_of(tokens)
-    postings = postings_of(tokens)
-    return Index(postings, vocab_of(postings, stats.first().n), stats, params)
+    stats = stats_of(tokens).first()
+    return Index(occurrences_of(tokens), stats.n, stats.avgdl, params)
 
 
 def search(index: Index, queries: DataFrame, k: int = 5, chunks: DataFrame | None = None, filters: Mapping[str, Any] | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score, bm25_score: the best ``k`` chunks for each of ``queries`` (query_id, text).
 
     A term that a query repeats counts as often. ``filters`` hold for ``chunks`` (chunk_id and metadata) and change no
-    statistics.
+    statistics. Terms that no query has are left out before anything is counted or shuffled.
     """
     p = index.params
-    avgdl = index.corpus_stats.first().avgdl
     asked = queries.select("query_id", F.explode(terms("text", p.stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    # the few terms asked for meet the vocabulary first; postings of other terms go no further
-    asked = asked.join(index.vocab, "term")
-    norm = F.lit(1 - p.b) + F.lit(p.b) * F.col("doc_len") / F.lit(avgdl or 1.0)
+    few = asked.count() <= MOST_ASKED  # else Spark shuffles
+    side = F.broadcast if few else lambda df: df
+    found = summed(index.occurrences.join(side(asked.select("term").distinct()), "term", "left_semi"))
+    asked = side(asked.join(vocab_of(found, index.n).drop("df"), "term"))
+    norm = F.lit(1 - p.b) + F.lit(p.b) * F.col("doc_len") / F.lit(index.avgdl or 1.0)
     part = F.col("times") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * norm)
-    postings = index.postings
     if filters:
-        postings = postings.join(chunks.where(matches(chunks, filters)).select("chunk_id"), "chunk_id", "left_semi")
-    scored = postings.join(asked, "term").select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+        found = found.join(chunks.where(matches(chunks, filters)).select("chunk_id"), "chunk_id", "left_semi")
+    scored = found.join(asked, "term").select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     return best(scored, k).withColumn("bm25_score", F.col("score"))
