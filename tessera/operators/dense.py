@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.filters import matches
 
 METRICS = ("cosine", "dot_product", "euclidean")
-#: Queries that go to the tasks at once; more go in several passes.
+#: Queries of one matrix product.
 BLOCK = 2048
+#: Numbers in the queries that go to the tasks at once (as doubles, 256 MB); more take several passes over the vectors.
+MOST_NUMBERS = 1 << 25
 
 
 def add(vectors: DataFrame, more: DataFrame) -> DataFrame:
@@ -62,23 +65,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "co
     kind, query_kind = rows.schema["chunk_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_kind}, chunk_id {kind}, score double"
     out = None
-    for block in _blocks(asked):
-        ids, matrix = [r.query_id for r in block], np.array([r.embedding for r in block], dtype=float)
+    for ids, matrix in _passes(asked):
+        # one copy a machine, for all blocks of the pass
+        sent = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
-        def near(batches: Iterator[pa.RecordBatch], ids: list = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = np.asarray(batch.column("embedding").flatten(), dtype=float).reshape(batch.num_rows, -1)
                 if x.shape[1] != matrix.shape[1]:
                     raise ValueError(f"vectors have {x.shape[1]} dimensions, queries {matrix.shape[1]}")
-                scores = _scores(metric, x, matrix)
+                by_id = np.argsort(np.argsort(batch.column("chunk_id").to_numpy(zero_copy_only=False)))
                 most = min(k, len(x))
-                places = np.lexsort((np.broadcast_to(np.argsort(np.argsort(batch.column("chunk_id").to_numpy(zero_copy_only=False))), scores.T.shape), -np.round(scores.T, 9)), axis=1)[:, :most]
-                q = np.repeat(np.arange(len(ids)), most)
-                flat, value = places.ravel(), np.take_along_axis(scores.T, places, axis=1).ravel()
-                keep = np.ones(len(value), bool) if threshold is None else value >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q[keep]], pa.from_numpy_dtype(np.int64) if query_kind == "bigint" else None), batch.column("chunk_id").take(pa.array(flat[keep])), pa.array(value[keep])], names=["query_id", "chunk_id", "score"])
+                for at in range(0, len(ids), BLOCK):
+                    scores = _scores(metric, x, matrix[at : at + BLOCK]).T
+                    places = np.lexsort((np.broadcast_to(by_id, scores.shape), -np.round(scores, 9)), axis=1)[:, :most]
+                    value = np.take_along_axis(scores, places, axis=1).ravel()
+                    keep = np.ones(len(value), bool) if threshold is None else value >= threshold
+                    which = np.repeat(np.arange(at, at + len(scores)), most)[keep]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), batch.column("chunk_id").take(pa.array(places.ravel()[keep])), pa.array(value[keep])], names=["query_id", "chunk_id", "score"])
 
         found = rows.mapInArrow(near, schema)
         out = found if out is None else out.unionByName(found)
@@ -87,12 +94,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "co
     return best(out, k).withColumn("dense_score", F.col("score"))
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    block: list = []
+def _passes(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, matrix) of as many queries as MOST_NUMBERS allows. The rows come one partition at a time."""
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    held: list = []
     for row in queries.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+        held.append(row)
+        if len(held) * len(row.embedding) >= MOST_NUMBERS:
+            yield pa.array([r.query_id for r in held], kind), np.array([r.embedding for r in held], dtype=float)
+            held = []
+    if held:
+        yield pa.array([r.query_id for r in held], kind), np.array([r.embedding for r in held], dtype=float)

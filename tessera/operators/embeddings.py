@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import importlib.util
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,9 +38,21 @@ class HashingEmbeddings:
         self.dimension = dimension
 
     def documents(self, text: Column | str) -> Column:
-        buckets = F.transform(word_runs(text), lambda w: (F.crc32(w.cast("binary")) % self.dimension).cast("int"))
-        counts = let(buckets, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda d: F.size(F.filter(all_, lambda b: b == d)).cast("double")))
-        return F.transform(normalised(counts), lambda x: x.cast("float"))
+        dimension = self.dimension
+
+        @F.pandas_udf("array<float>")
+        def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            # one pass over the words of all texts of a batch, whatever the dimension
+            for buckets in batches:
+                rows = [b if b is not None else () for b in buckets]
+                size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+                flat = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+                place = np.repeat(np.arange(len(rows)), size) * dimension + flat
+                counts = np.bincount(place, minlength=len(rows) * dimension).reshape(len(rows), dimension)
+                norm = np.sqrt((counts * counts).sum(axis=1))
+                yield pd.Series(list((counts / np.where(norm == 0, 1, norm)[:, None]).astype(np.float32)), dtype=object)
+
+        return counted(F.transform(word_runs(text), lambda w: (F.crc32(w.cast("binary")) % dimension).cast("int")))
 
     queries = documents
 
@@ -65,6 +80,14 @@ class ModelEmbeddings:
         return self._column(self.load_query, text)
 
 
+def default_embeddings() -> Embeddings:
+    """A sentence transformer where its package is installed, else hashing, with a warning."""
+    if importlib.util.find_spec("sentence_transformers"):
+        return sentence_transformer()
+    warnings.warn("sentence-transformers is not installed; texts are embedded by hashing their words", stacklevel=3)
+    return HashingEmbeddings()
+
+
 def sentence_transformer(name: str = "all-MiniLM-L6-v2", device: str | None = None) -> ModelEmbeddings:
     """Needs the sentence-transformers package on the executors."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -34,6 +36,14 @@ def pairwise(load: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float
     return score(query, content)
 
 
+def default_score() -> Column | None:
+    """A cross encoder where its package is installed, else None (hits keep their order), with a warning."""
+    if importlib.util.find_spec("sentence_transformers"):
+        return cross_encoder()
+    warnings.warn("sentence-transformers is not installed; hits are not reranked", stacklevel=3)
+    return None
+
+
 def cross_encoder(name: str = "cross-encoder/ms-marco-MiniLM-L-6-v2", device: str | None = None) -> Column:
     """Needs the sentence-transformers package on the executors; raw model scores."""
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import dense, evaluate, fusion, generate, prompt, rerank, sparse
+from tessera.operators.embeddings import default_embeddings
 from tessera.operators.index import Manager
 from tessera.sources import loaders
 
@@ -16,7 +19,14 @@ MODES = ("dense", "sparse", "bm25", "hybrid")
 
 
 class Retrieval:
-    """An index, and how it is searched. Queries are tables (query_id, text), answered all at once."""
+    """An index, and how it is searched. Queries are tables (query_id, text), answered all at once.
+
+    `neural` takes models where their package is installed, and says so where it is not.
+    """
+
+    @classmethod
+    def neural(cls, spark: SparkSession, path: str, **how) -> Retrieval:
+        return cls(Manager(spark, path, default_embeddings()), rerank_score=rerank.default_score(), **how)
 
     def __init__(self, manager: Manager, fusion_kind: str = "rrf", rrf_k: int = 60, alpha: float = 0.5, rerank_score=None, answer=None):
         self.manager, self.fusion_kind, self.rrf_k, self.alpha = manager, fusion_kind, rrf_k, alpha
@@ -75,11 +85,20 @@ class Retrieval:
         contexts = prompt.context(queries, self.search(queries, k, mode, filters, reranked, candidate_k))
         return prompt.prompts(contexts).withColumn("answer", generate.mock_answer() if self.answer is None else self.answer)
 
+    def measured(self, queries: DataFrame, path: str, **how) -> DataFrame:
+        """`query`, with its result written to ``path``, and latency_ms: what a query of the batch took."""
+        began = time.perf_counter()
+        made = self.query(queries, **how)
+        made.write.mode("overwrite").parquet(path)
+        took = (time.perf_counter() - began) * 1000
+        return queries.sparkSession.read.schema(made.schema).parquet(path).withColumn("latency_ms", F.lit(took) / F.lit(max(queries.count(), 1)))
+
     def compare(self, samples: DataFrame, ks=evaluate.KS, candidate_k: int = 20) -> DataFrame:
-        """Keyword, vector, fused and reranked search over labelled queries."""
+        """Keyword, vector, fused and reranked search over labelled queries, with the time that a query of the batch took."""
         most = max(ks)
         queries = samples.select("query_id", "text")
         truth = evaluate.ground_truth(samples, self.manager.table("chunks"))
-        runs = {name: self.retrieve(queries, most, mode) for name, mode in (("BM25", "sparse"), ("Dense", "dense"), ("Hybrid RRF", "hybrid"))}
-        runs["Hybrid + Reranker"] = self.search(queries, most, "hybrid", None, True, candidate_k)
-        return evaluate.compared(runs, truth, ks)
+        runs = {name: lambda mode=mode: self.retrieve(queries, most, mode) for name, mode in (("BM25", "sparse"), ("Dense", "dense"), ("Hybrid RRF", "hybrid"))}
+        runs["Hybrid + Reranker"] = lambda: self.search(queries, most, "hybrid", None, True, candidate_k)
+        hits, took = evaluate.timed(runs, queries.count(), f"{self.manager.path}/compared-{uuid.uuid4().hex}")
+        return evaluate.compared(hits, truth, ks, took)

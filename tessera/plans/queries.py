@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import metrics, text
 from tessera.operators import chunking, dense, evaluate, fusion, generate, prompt, rerank, sparse
 from tessera.operators.embeddings import HashingEmbeddings
-from tessera.operators.index import fresh
+from tessera.operators.index import Manager, fresh
 from tessera.sources.loaders import from_table
 
 #: Queries of a search over vectors: every row whose id is divisible by this.
@@ -18,7 +20,17 @@ EVERY = 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one of fewer splits than there are cores is dealt out to all of them."""
+    table, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share; a local session may have none set."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{where or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{uuid.uuid4().hex}"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +150,9 @@ def linear_fusion(spark, sf_dir):
 
 
 def _with_content(spark, sf_dir, hits):
-    return hits.join(_chunks(spark, sf_dir), "chunk_id").join(_items(spark, sf_dir).withColumnRenamed("text", "query_text"), "query_id")
+    """Hits are a few for each query, so these go to the chunks up to a checked number of queries."""
+    few = _read(spark, sf_dir, "benchmark").count() <= sparse.MOST_ASKED // 100
+    return _chunks(spark, sf_dir).join(F.broadcast(hits) if few else hits, "chunk_id").join(_items(spark, sf_dir).withColumnRenamed("text", "query_text"), "query_id")
 
 
 def _reranked(out):
@@ -156,11 +170,14 @@ def rerank_scored(spark, sf_dir):
 
 def ground_truth(spark, sf_dir):
     """Documents that hold a benchmark text."""
-    items, chunks = _items(spark, sf_dir), _chunks(spark, sf_dir)
-    found = items.join(chunks, F.contains("content", "text")).groupBy("query_id").agg(F.collect_list(F.col("chunk_id").cast("string")).alias("relevant_chunk_ids"))
-    none = F.array().cast("array<string>")
-    samples = found.withColumns({"relevant_doc_names": none, "relevant_keywords": none})
-    return evaluate.ground_truth(samples, chunks).select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"))
+    return evaluate.containing(_items(spark, sf_dir), _chunks(spark, sf_dir))
+
+
+def ground_truth_names(spark, sf_dir):
+    """Every benchmark item names a source, and has a keyword, its third word."""
+    names = F.array(F.concat(F.lit("SRC"), (F.col("query_id") % 20).cast("string")))
+    samples = _items(spark, sf_dir).withColumns({"relevant_chunk_ids": F.array().cast("array<string>"), "relevant_doc_names": names, "relevant_keywords": F.array(F.get(F.split("text", " "), F.lit(2)))})
+    return evaluate.ground_truth(samples, _chunks(spark, sf_dir)).select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"))
 
 
 def eval_per_query(spark, sf_dir):
@@ -196,6 +213,41 @@ def incremental_upsert(spark, sf_dir):
     return fresh(docs, known).select("doc_id", "doc_hash")
 
 
+def _manager(spark: SparkSession) -> Manager:
+    """An index of whole documents."""
+    chunk = lambda docs: docs.select("doc_id", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(0).alias("chunk_index"))
+    return Manager(spark, _scratch(spark), HashingEmbeddings(64), chunk)
+
+
+def index_upsert(spark, sf_dir):
+    """The index first holds former versions of the labelled documents; then all documents come, twice."""
+    docs, manager = _documents(spark, sf_dir), _manager(spark)
+    labelled = docs.join(_read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    manager.index_documents(from_table(labelled.withColumn("text", F.reverse("text"))))
+    manager.index_documents(docs)
+    manager.index_documents(docs)
+    return manager.table("registry").select("doc_id", "doc_hash", F.col("chunk_count").cast("long").alias("chunk_count"), "terms")
+
+
+def _without_toxic(spark, sf_dir):
+    manager = _manager(spark)
+    manager.index_documents(_documents(spark, sf_dir))
+    manager.delete_documents(_read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+    return manager
+
+
+def index_delete(spark, sf_dir):
+    """Keyword search of an index from which the toxic documents were deleted."""
+    return _shown(sparse.search(_without_toxic(spark, sf_dir).index(), _items(spark, sf_dir), 10))
+
+
+def index_compacted(spark, sf_dir):
+    """The index's own statistics, after the toxic documents were deleted and one segment was made of all."""
+    manager = _without_toxic(spark, sf_dir)
+    manager.compact()
+    return manager.stats().select("total_documents", "total_chunks", "bm25_vocabulary_size", "bm25_avg_doc_len")
+
+
 def delete_documents(spark, sf_dir):
     """Corpus statistics by language without the toxic documents."""
     gone = _read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")).distinct()
@@ -245,7 +297,7 @@ def index_stats(spark, sf_dir):
 NAMES = (
     tokenize_stats, content_hashes, char_chunks, recursive_chunks, postings, vocab_idf, corpus_stats, bm25_topk, bm25_filtered, hashing_embeddings,
     dense_cosine, dense_dot, dense_euclidean, dense_threshold, dense_filtered, rrf_fusion, linear_fusion, rerank_passthrough, rerank_scored, ground_truth,
-    eval_per_query, eval_summary, benchmark_4way, incremental_upsert, delete_documents, format_context, build_prompt, mock_answers, citation_accuracy, faithfulness, index_stats,
+    ground_truth_names, index_upsert, index_delete, index_compacted, eval_per_query, eval_summary, benchmark_4way, incremental_upsert, delete_documents, format_context, build_prompt, mock_answers, citation_accuracy, faithfulness, index_stats,
 )
 
 
@@ -318,28 +370,68 @@ TRUTH = "truth AS (SELECT DISTINCT item_id AS query_id, doc_id AS chunk_id FROM
 
 
 def _fused_sql(score: str, order: str, rrf: str) -> str:
-    return f"""WITH {_dense_sql(COSINE, 30)}, {_bm25_sql(30, query_id=f'item_id * {EVERY}')},
-both_ AS (SELECT query_id, chunk_id, d.score AS ds, d.rank AS dr, s.score AS bs, s.rank AS br FROM dense d FULL JOIN hits s USING (query_id, chunk_id)),
+    return f"""WITH {_dense_sql(COSINE, 30)}, {_bm25_sql(30, query_id=f'item_id * {EVERY}')}, {_fusion(score, order, rrf)}
+{HITS}, round(ds, 6) AS dense_score, round(bs, 6) AS bm25_score, round(rrf_score, 6) AS rrf_score FROM final WHERE rank <= 10"""
+
+
+def _fusion(score: str, order: str, rrf: str) -> str:
+    """From dense and hits to final."""
+    return f"""both_ AS (SELECT query_id, chunk_id, d.score AS ds, d.rank AS dr, s.score AS bs, s.rank AS br FROM dense d FULL JOIN hits s USING (query_id, chunk_id)),
 sized AS (SELECT *, count(dr) OVER w AS nd, count(br) OVER w AS nb, min(ds) OVER w AS d0, max(ds) OVER w AS d1, min(bs) OVER w AS b0, max(bs) OVER w AS b1 FROM both_ WINDOW w AS (PARTITION BY query_id)),
 mixed AS (SELECT *, nd > 0 AND nb > 0 AS two, {score} AS m FROM sized),
 final AS (SELECT query_id, chunk_id, CASE WHEN two THEN m ELSE coalesce(ds, bs) END AS score, ds, bs, {rrf} AS rrf_score,
-  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN NOT two THEN coalesce(dr, br) END, round(CASE WHEN two THEN m ELSE coalesce(ds, bs) END, 9) DESC, {order} chunk_id) AS rank FROM mixed)
-{HITS}, round(ds, 6) AS dense_score, round(bs, 6) AS bm25_score, round(rrf_score, 6) AS rrf_score FROM final WHERE rank <= 10"""
+  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN NOT two THEN coalesce(dr, br) END, round(CASE WHEN two THEN m ELSE coalesce(ds, bs) END, 9) DESC, {order} chunk_id) AS rank FROM mixed)"""
+
+
+RRF = ("coalesce(1.0 / (60 + dr), 0) + coalesce(1.0 / (60 + br), 0)", "dr NULLS LAST, br NULLS LAST,", "CASE WHEN two THEN m END")
+#: The checksum's table of 256, and from it the bucket of each word w of the table u.
+CRC = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END) AS v FROM range(256) r(i))),
+bytes AS (SELECT w, list_transform(range(0, octet_length(encode(w))), lambda k: ('0x' || substring(hex(encode(w)), (2 * k + 1)::INT, 2))::BIGINT) AS b FROM u),
+buckets AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 64 AS d FROM bytes, crc)"""
+
+
+def _embedded(source: str) -> str:
+    """vectors (id, e) of the words of ``source``, a query of (id, text)."""
+    return rf"""given AS ({source}),
+said AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM given), u AS (SELECT DISTINCT w FROM said), {CRC},
+counts AS (SELECT id, d, count(*) AS c FROM said JOIN buckets USING (w) GROUP BY ALL), norms AS (SELECT id, sqrt(sum(c * c)) AS norm FROM counts GROUP BY id),
+vectors AS (SELECT g.id, list(coalesce(c / norm, 0.0)::FLOAT ORDER BY r.d) AS e
+  FROM given g CROSS JOIN range(64) r(d) LEFT JOIN norms USING (id) LEFT JOIN counts c ON c.id = g.id AND c.d = r.d GROUP BY g.id)"""
+
+
+def _four_ways_sql() -> str:
+    # documents as d1, d2, ..., items as q1, q2, ...
+    vectors = _embedded("SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'q' || item_id, text FROM benchmark")
+    config = lambda name, hits: f"SELECT '{name}' AS config, query_id, chunk_id, rank FROM {hits} WHERE rank <= 10"
+    return f"""WITH {vectors}, side AS (SELECT substring(id, 1, 1) AS s, substring(id, 2)::BIGINT AS id, e::DOUBLE[] AS e, list_aggregate(e, 'sum') = 0 AS none FROM vectors),
+near AS (SELECT q.id AS query_id, v.id AS chunk_id, CASE WHEN q.none OR v.none THEN 0.0 ELSE {COSINE} END AS score FROM side q, side v WHERE q.s = 'q' AND v.s = 'd'),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM near) WHERE rank <= 60),
+{_bm25_sql(60)}, {_fusion(*RRF)},
+scored_again AS (SELECT f.query_id, f.chunk_id, f.rank AS before, {_faithful('b.text', 'd.text')} AS r FROM final f JOIN documents d ON d.doc_id = f.chunk_id JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 20),
+again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(r, 9) DESC, before) AS rank FROM scored_again),
+configs AS ({config('BM25', 'hits')} UNION ALL {config('Dense', 'dense')} UNION ALL {config('Hybrid RRF', 'final')} UNION ALL {config('Hybrid + Reranker', 'again')}),
+{TRUTH}, {_metrics_sql('config', '(SELECT * FROM truth CROSS JOIN (SELECT DISTINCT config FROM configs))', 'configs')}
+SELECT config, count(*) AS num_samples, {MEANS} FROM judged GROUP BY config"""
 
 
 def _scaled(c: str) -> str:
     return f"coalesce(CASE WHEN {c}1 - {c}0 > 1e-6 THEN ({c}s - {c}0) / ({c}1 - {c}0) ELSE 0.0 END, 0.0)"
 
 
-def _metrics_sql() -> str:
+def _metrics_sql(by: str = "", truth: str = "truth", hits: str = "hits") -> str:
     cols = ["coalesce(1.0 / list_min(ranks), 0.0) AS mrr"]
     for k in evaluate.KS:
         hit = f"len(list_filter(ranks, lambda r: r <= {k}))"
         gain = f"coalesce(list_sum(list_transform(list_filter(ranks, lambda r: r <= {k}), lambda r: 1.0 / log2(r + 1))), 0.0)"
         ideal = f"list_sum(list_transform(range(1, least(n_relevant, {k}) + 1), lambda r: 1.0 / log2(r + 1)))"
         cols += [f"{hit} / n_relevant AS recall_{k}", f"{hit} / {k}.0 AS precision_{k}", f"CASE WHEN {hit} > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_rate_{k}", f"{gain} / {ideal} AS ndcg_{k}"]
-    return f"""judged AS (SELECT query_id, n_relevant, {', '.join(cols)} FROM (
-  SELECT t.query_id, count(*) AS n_relevant, coalesce(list(rank) FILTER (rank IS NOT NULL), []) AS ranks FROM truth t LEFT JOIN hits h USING (query_id, chunk_id) GROUP BY t.query_id))"""
+    by = f", {by}" if by else ""
+    return f"""judged AS (SELECT query_id{by}, n_relevant, {', '.join(cols)} FROM (
+  SELECT query_id{by}, count(*) AS n_relevant, coalesce(list(rank) FILTER (rank IS NOT NULL), []) AS ranks FROM {truth} t LEFT JOIN {hits} h USING (query_id, chunk_id{by}) GROUP BY query_id{by}))"""
+
+
+def _without_toxic_sql(sql: str) -> str:
+    return sql.replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 
 
 METRICS = ["mrr", *(f"{m}_{k}" for k in evaluate.KS for m in ("recall", "precision", "hit_rate", "ndcg"))]
@@ -363,13 +455,19 @@ def oracle_sql() -> dict[str, str]:
         "dense_euclidean": f"WITH {_dense_sql('1 / (1 + list_distance(q.e, v.e))')} {HITS} FROM dense",
         "dense_threshold": f"WITH {_dense_sql(COSINE, where=f'{COSINE} >= 0.3')} {HITS} FROM dense",
         "dense_filtered": f"WITH {_dense_sql(COSINE, where='v.label = 3')} {HITS} FROM dense",
-        "rrf_fusion": _fused_sql("coalesce(1.0 / (60 + dr), 0) + coalesce(1.0 / (60 + br), 0)", "dr NULLS LAST, br NULLS LAST,", "CASE WHEN two THEN m END"),
+        "rrf_fusion": _fused_sql(*RRF),
         "linear_fusion": _fused_sql(f"0.5 * {_scaled('d')} + 0.5 * {_scaled('b')}", "", "NULL::DOUBLE"),
         "rerank_passthrough": f"WITH {_bm25_sql(5)} {HITS}, round(score, 6) AS rerank_score FROM hits",
         "rerank_scored": f"WITH {_bm25_sql(20)}, again AS (SELECT query_id, rank AS before, chunk_id, score, {rerank_score} AS rerank_score FROM hits h JOIN documents d ON d.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id), final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 9) DESC, before) AS rank FROM again) {HITS}, round(rerank_score, 6) AS rerank_score FROM final WHERE rank <= 5",
         "ground_truth": f"WITH {TRUTH} SELECT * FROM truth",
         "eval_per_query": f"WITH {_bm25_sql(10)}, {TRUTH}, {_metrics_sql()} SELECT query_id, n_relevant, {EACH} FROM judged",
         "eval_summary": f"WITH {_bm25_sql(10)}, {TRUTH}, {_metrics_sql()} SELECT count(*) AS num_samples, {MEANS} FROM judged",
+        "ground_truth_names": "SELECT DISTINCT item_id AS query_id, doc_id AS chunk_id FROM documents d, benchmark b WHERE contains(lower(d.source), 'src' || (item_id % 20)) AND contains(lower(d.text), lower(string_split(b.text, ' ')[3]))",
+        "hashing_embeddings": f"WITH {_embedded('SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, list_transform(e, lambda x: round(x::DOUBLE, 5)) AS embedding FROM vectors",
+        "benchmark_4way": _four_ways_sql(),
+        "index_upsert": f"WITH {TOKENS} SELECT chunk_id AS doc_id, sha256(source || ':' || content) AS doc_hash, 1::BIGINT AS chunk_count, len(terms)::BIGINT AS terms FROM tok",
+        "index_delete": f"WITH {_without_toxic_sql(_bm25_sql(10))} {HITS} FROM hits",
+        "index_compacted": f"WITH {_without_toxic_sql(INDEX)} SELECT n AS total_documents, n AS total_chunks, (SELECT count(*) FROM vocab) AS bm25_vocabulary_size, round(avgdl, 2) AS bm25_avg_doc_len FROM stats",
         "incremental_upsert": "SELECT doc_id, sha256(source || ':' || text) AS doc_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "delete_documents": f"WITH {TOKENS} SELECT lang, count(*) AS n, round(avg(len(terms)), 6) AS avgdl FROM tok WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY lang",
         "format_context": f"WITH {CONTEXT} SELECT query_id, context, n_sources, cited FROM contexts",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -14,6 +15,7 @@ from tessera.functions.text import content_hash, document_key
 # Which loader reads which extension.
 KINDS = {".txt": "text", ".py": "text", ".json": "text", ".csv": "text", ".md": "markdown", ".markdown": "markdown", ".pdf": "pdf"}
 
+LISTS = ("relevant_doc_names", "relevant_chunk_ids", "relevant_keywords")
 Pages = Callable[[bytes], list[str]]
 SAMPLES = "name string, description string, samples array<struct<query: string, relevant_doc_names: array<string>, relevant_chunk_ids: array<string>, relevant_keywords: array<string>, ground_truth_answer: string, metadata: map<string, string>>>"
 
@@ -76,27 +78,47 @@ def pypdf_pages(content: bytes) -> list[str]:
     return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
 
 
-def pdf_documents(found: DataFrame, pages: Pages = pypdf_pages) -> DataFrame:
-    """One document a page that is not blank."""
+def _extracted(found: DataFrame, pages: Pages) -> DataFrame:
+    """Files with the texts of their pages in `p`, or with what went wrong in `error`: one broken file stops no other."""
+
+    @F.pandas_udf("p array<string>, error string")
+    def read(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for data in content:
+            try:
+                out.append((list(pages(bytes(data))), None))
+            except ImportError:
+                raise
+            except Exception as e:  # whatever the extractor may raise
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["p", "error"])
 
-    @F.pandas_udf("array<string>")
-    def read(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: pages(bytes(c)))
+    return found.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).withColumn("_d", read("content")).select("path", "length", "modificationTime", "_d.*")
 
-    rows = found.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).withColumn("_p", read("content"))
-    rows = rows.select("path", "length", "modificationTime", F.size("_p").alias("total_pages"), F.posexplode("_p").alias("_k", "text")).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+
+def pdf_documents(found: DataFrame, pages: Pages = pypdf_pages) -> DataFrame:
+    """One document a page that is not blank; files that can't be read are left out (`pdf_failures`)."""
+    rows = _extracted(found, pages).where("error is null")
+    rows = rows.select("path", "length", "modificationTime", F.size("p").alias("total_pages"), F.posexplode("p").alias("_k", "text")).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     return _named(rows.withColumn("page", F.col("_k") + 1).withColumn("file_type", F.lit("pdf")).withColumn("encoding", F.lit(None).cast("string")))
 
 
+def pdf_failures(found: DataFrame, pages: Pages = pypdf_pages) -> DataFrame:
+    """(path, error) of the files that can't be read."""
+    return _extracted(found, pages).where("error is not null").select("path", "error")
+
+
 def directory_documents(spark: SparkSession, path: str, recursive: bool = True, extensions: Iterable[str] | None = None, pages: Pages = pypdf_pages) -> tuple[DataFrame, DataFrame]:
-    """The documents of a folder, and the files (path) whose text could not be decoded. Files of unknown kinds are left out."""
+    """The documents of a folder, and the files (path, error) that could not be read. Files of unknown kinds are left out."""
     wanted = set(KINDS) if extensions is None else {e if e.startswith(".") else f".{e}" for e in map(str.lower, extensions)} & set(KINDS)
     found = files(spark, path, recursive).where(extension().isin(sorted(wanted)) if wanted else F.lit(False))
     of = lambda kind: found.where(extension().isin([e for e, k in KINDS.items() if k == kind]))
     docs = text_documents(of("text")).unionByName(markdown_documents(of("markdown")))
+    failed = docs.where("text is null").select(F.col("source").alias("path"), F.lit("no encoding fits").alias("error"))
+    docs = docs.where("text is not null")
     if ".pdf" in wanted:
-        docs = docs.unionByName(pdf_documents(of("pdf"), pages))
-    return docs.where("text is not null"), docs.where("text is null").select(F.col("source").alias("path"))
+        docs, failed = docs.unionByName(pdf_documents(of("pdf"), pages)), failed.unionByName(pdf_failures(of("pdf"), pages))
+    return docs, failed
 
 
 def file_documents(spark: SparkSession, path: str, pages: Pages = pypdf_pages) -> DataFrame:
@@ -123,16 +145,40 @@ def from_table(df: DataFrame, text: str = "text", source: str = "source") -> Dat
     return rows.withColumn("doc_hash", content_hash("source", "text"))
 
 
-def evaluation_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled queries of a JSON file; what is missing is empty."""
-    rows = spark.read.schema(SAMPLES).option("multiLine", True).json(path).select(F.posexplode("samples").alias("query_id", "s"))
-    empty = F.array().cast("array<string>")
-    lists = ("relevant_doc_names", "relevant_chunk_ids", "relevant_keywords")
-    return rows.select(F.col("query_id").cast("long"), F.col("s.query").alias("text"), *(F.coalesce(f"s.{c}", empty).alias(c) for c in lists), "s.ground_truth_answer")
-
-
-def save_samples(samples: DataFrame, path: str) -> None:
-    """One JSON line for each labelled query."""
-    samples.write.mode("overwrite").json(path)
+@dataclass
+class Dataset:
+    """Labelled queries: `samples` (query_id, text, relevant_doc_names, relevant_chunk_ids, relevant_keywords, ground_truth_answer, metadata)."""
+
+    name: str
+    description: str
+    samples: DataFrame
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Dataset:
+        """From a JSON file (or a folder with one); what is missing is empty, and query_id is the place in the file."""
+        whole = spark.read.schema(SAMPLES).option("multiLine", True).json(path)
+        head = whole.select("name", "description").first()
+        rows = whole.select(F.posexplode("samples").alias("query_id", "s"))
+        empty = F.array().cast("array<string>")
+        lists = (F.coalesce(f"s.{c}", empty).alias(c) for c in LISTS)
+        metadata = F.coalesce("s.metadata", F.create_map().cast("map<string,string>")).alias("metadata")
+        samples = rows.select(F.col("query_id").cast("long"), F.col("s.query").alias("text"), *lists, "s.ground_truth_answer", metadata)
+        return cls(head.name or "" if head else "", head.description or "" if head else "", samples)
+
+    def add_sample(self, query: str, relevant_doc_names: Sequence[str] = (), relevant_chunk_ids: Sequence[str] = (), relevant_keywords: Sequence[str] = (), ground_truth_answer: str | None = None, metadata: Mapping[str, str] | None = None) -> Dataset:
+        """The labelled queries with one more at the end."""
+        last = self.samples.agg(F.coalesce(F.max("query_id") + 1, F.lit(0))).first()[0]
+        row = (last, query, list(relevant_doc_names), list(relevant_chunk_ids), list(relevant_keywords), ground_truth_answer, dict(metadata or {}))
+        return Dataset(self.name, self.description, self.samples.unionByName(self.samples.sparkSession.createDataFrame([row], self.samples.schema)))
+
+    def save(self, path: str) -> None:
+        """As one JSON object, which `load` reads: the format is a single record, so all queries meet in one row."""
+        sample = F.struct("query_id", F.col("text").alias("query"), *LISTS, "ground_truth_answer", "metadata")
+        one = self.samples.agg(F.array_sort(F.collect_list(sample), lambda a, b: F.signum(a["query_id"] - b["query_id"]).cast("int")).alias("samples"))
+        one = one.withColumn("samples", F.transform("samples", lambda s: s.dropFields("query_id")))
+        one.select(F.lit(self.name).alias("name"), F.lit(self.description).alias("description"), "samples").write.mode("overwrite").json(path)
 
 
+def evaluation_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The labelled queries of a JSON file."""
+    return Dataset.load(spark, path).samples
