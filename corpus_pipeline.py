@@ -35,8 +35,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text gets its tokens and what they decode to, as digests."""
-    return bpe.encoded(docs.select(*DOCUMENT), WORD_BPE, with_ids=False)
+    """Every text gives its token ids, what they decode to, and the digests of both."""
+    return bpe.encoded(docs.select(*DOCUMENT), WORD_BPE).drop("text")
 
 
 STAGES = [("quality", quality_classifier), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("bpe", encode)]
