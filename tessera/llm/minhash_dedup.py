@@ -1,34 +1,37 @@
 """MinHash near-dedup by an LSH forest.
 
-Texts become sets of five-word shingles and MinHash signatures of 64 slots. The
-forest is 16 orders of the signatures, each beginning at another slot. In each
-order, sorted as a whole over all executors, a document's candidates are its
-neighbours whose longest common prefix is two slots or more: where documents are
-sparse a prefix of two slots suffices, where they are dense the neighbours are
-those that agree much deeper. Candidates are confirmed on the full shingle sets.
-Regions too dense for the neighbourhood that still hold several components are compared
-as a whole, on the full sets, and no number of partners is capped: small ones pair by pair, larger
-ones in blocks. Only regions of more than LARGE_REGION nodes are taken apart first,
-by FRESH_ORDERS orders of slots that nothing else uses, so many that a pair at similarity 0.75 parts in all
-of them with a chance below MISS.
-
-Null and empty texts have no shingles and are linked with nothing. Texts with
-equal sets are one node (a class), however many copies there are. Rows that repeat
-a ``doc_id`` stay, each with the component of its text. Other columns of the
-input pass through `deduplicated` unchanged, whatever their names.
+Texts become sets of five-word shingles and MinHash signatures of 64 slots. Texts with
+equal sets are one node (a class), however many copies there are. The forest is 16 orders of the
+signatures, each beginning at another slot. In each order, sorted as a whole over all
+executors, a node's candidates are its neighbours whose longest common prefix is two slots or more: where
+nodes are sparse a prefix of two slots suffices, where they are dense the
+neighbours are those that agree much deeper. Candidates are confirmed on the full shingle sets.
+
+What shares two slots in an order is a region. Regions that the neighbourhood does not cover and
+that hold several components after that are compared on the full sets, the nodes outside the region's largest component
+with all others, and no number of partners is capped: small regions pair by pair, larger ones in
+blocks of bounded size. Regions of more than LARGE_REGION nodes are taken apart first, by fresh orders of slots
+that nothing else uses, deeper ones for larger regions, and of each depth so many that a pair at
+similarity 0.75 parts in all of them with a chance below MISS.
+
+Null and empty texts have no shingles and are linked with nothing. Rows that repeat
+a ``doc_id`` stay, each with the component of its own text. A row without a doc_id is linked
+with nothing. Other columns of the input pass through `deduplicated` unchanged, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import dropped, written
+from tessera.llm.tables import dropped, free, joined_side, written
 from tessera.llm.textops import U64, UNSPACED, Words, mixed, pieces
 
 SHINGLE = 5
@@ -38,23 +41,19 @@ STRIDE = SLOTS // TREES
 DEPTH = 12
 LEAST_DEPTH = 2
 NEIGHBOURS = 3
-BEST_ROUNDS = 1
-#: Regions of so many nodes are compared pair by pair, larger ones in blocks of BLOCK by BLOCK nodes.
+#: Regions of so many nodes are compared pair by pair, larger ones in blocks.
 SMALL_REGION = 32
-BLOCK = 512
+#: Nodes and shingles of one side of a block, about.
+BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
 #: Regions of more nodes are dealt anew by fresh slots.
 LARGE_REGION = 8192
-FRESH_DEPTH = 6
+#: (nodes of the region at most, slots of a fresh order).
+FRESH_DEPTHS = ((1 << 16, 6), (1 << 20, 10), (None, 14))
 MISS = 1e-5
-FRESH_ORDERS = math.ceil(math.log(MISS) / math.log(1 - 0.75**FRESH_DEPTH))
-#: Ids that are sent to all executors at most.
-MOST_BROADCAST = 4_000_000
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 63, SLOTS, dtype=np.int64).astype(U64)
 _MUL = _rng.integers(0, 1 << 63, SLOTS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_FRESH_XOR = _rng.integers(0, 1 << 63, FRESH_ORDERS * FRESH_DEPTH, dtype=np.int64).astype(U64)
-_FRESH_MUL = _rng.integers(0, 1 << 63, FRESH_ORDERS * FRESH_DEPTH, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _PLACE = mixed(np.arange(SHINGLE, dtype=U64) + U64(31)) | U64(1)
 
 
@@ -87,8 +86,9 @@ def shingle_sets(column: pa.Array, words: int = SHINGLE) -> Iterator[np.ndarray]
 def signature(shingles: np.ndarray, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
     least = np.full(len(xor), ~U64(0), dtype=U64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            block = (shingles[None, at : at + 4096] ^ xor[:, None]) * mul[:, None]
+        step = max(64, (1 << 18) // len(xor))
+        for at in range(0, len(shingles), step):
+            block = (shingles[None, at : at + step] ^ xor[:, None]) * mul[:, None]
             np.minimum(least, block.min(axis=1), out=least)
     return (least >> U64(32)).astype(np.uint32).view(np.int32)
 
@@ -105,18 +105,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pa.array(np.concatenate(sig) if sig else np.empty(0, np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SLOTS), flat)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists],
-            names=["doc_id", "n_shingles", "f1", "f2", "sig"],
+            [batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists],
+            names=["doc_id", "h", "n_shingles", "f1", "f2", "sig"],
         )
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>"
+SIGNED = "doc_id long, h long, n_shingles long, f1 long, f2 long, sig array<int>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (128 bits of the shingle set) and sig."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and h, by which texts of one doc_id are told apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signed, SIGNED)
+    return rows.withColumn("h", F.xxhash64("text"))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, h, n_shingles, f1 and f2 (128 bits of the shingle set) and sig."""
+    return _rows(docs).mapInArrow(_signed, SIGNED)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,33 +250,50 @@ def _pairs_of(comp: DataFrame) -> DataFrame:
     return comp.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
+REGION = ["tree", "prefix"]
+
+
 def _mixed(rows: DataFrame, comp: DataFrame, least: int) -> DataFrame:
-    """The rows (tree, prefix, node, n) of regions of more than ``least`` nodes in several components, with component and the region's size."""
-    region = ["tree", "prefix"]
+    """The rows (tree, prefix, node, n) of regions of more than ``least`` nodes in several components.
+
+    Added are the node's component, the region's largest one (main), and the nodes and shingles of the region and outside main.
+    """
     rows = rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = rows.groupBy(*region).agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    sizes = sizes.where((F.col("size") > least) & (F.col("c0") != F.col("c1"))).drop("c1")
-    return written(rows.select(*region, "node", "n", "component").join(sizes, region), "dense")
+    parts = rows.groupBy(*REGION, "component").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("own_n"))
+    sizes = parts.groupBy(*REGION).agg(F.max(F.struct("own", "own_n", "component")).alias("main"), F.sum("own").alias("size"), F.sum("own_n").alias("size_n"))
+    sizes = sizes.where((F.col("size") > least) & (F.col("size") > F.col("main.own")))
+    sizes = sizes.select(*REGION, F.col("main.component").alias("main"), "size", "size_n", (F.col("size") - F.col("main.own")).alias("rest"), (F.col("size_n") - F.col("main.own_n")).alias("rest_n"))
+    return written(rows.select(*REGION, "node", "n", "component").join(sizes, REGION), "dense")
 
 
 def _pairs_within(rows: DataFrame) -> DataFrame:
-    """(a, b): the pairs across components in each region; nodes outside its first component meet all nodes of others."""
-    region = ["tree", "prefix"]
-    one = rows.where("component != c0").select(*region, F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    two = rows.select(*region, F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    pairs = one.join(two, region).where("cx != cy and 100 * least(nx, ny) >= 75 * greatest(nx, ny)")
+    """(a, b): the pairs across components in each region."""
+    one = rows.where("component != main").select(*REGION, F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    two = rows.select(*REGION, F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), (F.col("component") == F.col("main")).alias("first"))
+    pairs = one.join(two, REGION).where("cx != cy and (first or x < y) and 100 * least(nx, ny) >= 75 * greatest(nx, ny)")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for node, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text")), strict=True):
-            slots = signature(s, _FRESH_XOR, _FRESH_MUL).reshape(FRESH_ORDERS, FRESH_DEPTH).astype(np.int64)
-            with np.errstate(over="ignore"):
-                prefix = mixed((slots.view(U64) * mixed(np.arange(FRESH_DEPTH, dtype=U64))).sum(axis=1)).view(np.int64)
-            tree = np.arange(TREES, TREES + FRESH_ORDERS, dtype=np.int32)
-            k = FRESH_ORDERS
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(prefix), pa.array(np.full(k, node)), pa.array(np.full(k, len(s)))], names=["tree", "prefix", "node", "n"])
+def fresh_orders(depth: int) -> int:
+    """How many orders of so many slots let a pair at similarity 0.75 part in all of them with a chance below MISS."""
+    return math.ceil(math.log(MISS) / math.log(1 - 0.75**depth))
+
+
+def _fresh(depth: int):
+    """The regions of fresh orders: rows (tree, prefix, node, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = fresh_orders(depth)
+        xor, mul = mixed(np.arange(k * depth, dtype=U64), depth), mixed(np.arange(k * depth, dtype=U64), 100 + depth) | U64(1)
+        place, tree = mixed(np.arange(depth, dtype=U64)), np.arange(k, dtype=np.int32) + 10_000 * depth
+        for batch in batches:
+            for node, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+                slots = signature(s, xor, mul).reshape(k, depth).astype(np.int64)
+                with np.errstate(over="ignore"):
+                    prefix = mixed((slots.view(U64) * place).sum(axis=1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(prefix), pa.array(np.full(k, node)), pa.array(np.full(k, len(s)))], names=["tree", "prefix", "node", "n"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,91 +332,88 @@ def _compared(rows: pa.Table) -> pa.Table:
 
 
 def _links_within(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): the confirmed links across components in each region, all of it compared in blocks.
-
-    The nodes outside its largest component meet all nodes.
-    """
-    region = ["tree", "prefix"]
-    parts = rows.groupBy(*region, "component").agg(F.count(F.lit(1)).alias("own"))
-    main = parts.groupBy(*region).agg(F.max(F.struct("own", "component")).alias("main"), F.sum("own").alias("all"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = main.select(*region, F.col("main.component").alias("largest"), blocks(F.col("all") - F.col("main.own")).alias("k1"), blocks(F.col("all")).alias("k2"))
-    rows = rows.select(*region, "node", "component").join(main, region)
+    """(a, b): the confirmed links across components in each region, the nodes outside its largest component against all, in blocks."""
+    blocks = lambda nodes, shingles: F.ceil(F.greatest(F.col(nodes) / BLOCK_NODES, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+    rows = rows.select(*REGION, "node", "component", "main", blocks("rest", "rest_n").alias("k1"), blocks("size", "size_n").alias("k2"))
     block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    one = rows.where("component != largest").select(*region, "node", "component", F.lit(1).alias("side"), block("k1").alias("i"), every("k2").alias("j"))
-    two = rows.select(*region, "node", "component", F.lit(0).alias("side"), every("k1").alias("i"), block("k2").alias("j"))
+    one = rows.where("component != main").select(*REGION, "node", "component", F.lit(1).alias("side"), block("k1").alias("i"), every("k2").alias("j"))
+    two = rows.select(*REGION, "node", "component", F.lit(0).alias("side"), every("k1").alias("i"), block("k2").alias("j"))
     dealt = one.unionByName(two).join(texts.mapInArrow(_sets, "node long, set binary"), "node")
-    return dealt.groupBy(*region, "i", "j").applyInArrow(_compared, "a long, b long").distinct()
+    return dealt.groupBy(*REGION, "i", "j").applyInArrow(_compared, "a long, b long").distinct()
 
 
-def dense_links(docs: DataFrame, orders: DataFrame, comp: DataFrame) -> DataFrame:
+def dense_links(docs: DataFrame, classes: DataFrame, orders: DataFrame, comp: DataFrame) -> DataFrame:
     """(a, b): the links across components in the regions that hold more nodes than a neighbourhood."""
-    named = lambda rows: rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
     dense = _mixed(orders.select("tree", F.xxhash64(F.slice("key", 1, LEAST_DEPTH)).alias("prefix"), "node", "n"), comp, NEIGHBOURS + 1)
-    pairs = _pairs_within(dense.where(F.col("size") <= SMALL_REGION))
-    broad = dense.where((F.col("size") > SMALL_REGION) & (F.col("size") <= LARGE_REGION))
-    large = dense.where(F.col("size") > LARGE_REGION)
-    links = None
-    if not large.isEmpty():
-        fresh = _mixed(written(_texts(docs, named(large)).mapInArrow(_fresh, "tree int, prefix long, node long, n long"), "fresh"), comp, 1)
-        pairs = pairs.unionByName(_pairs_within(fresh.where(F.col("size") <= SMALL_REGION)))
-        broad = broad.unionByName(fresh.where(F.col("size") > SMALL_REGION))
+    groups, least = [dense.where(F.col("size") <= LARGE_REGION)], LARGE_REGION
+    for most, depth in FRESH_DEPTHS:
+        large = dense.where((F.col("size") > least) & (F.lit(most is None) | (F.col("size") <= (most or 0))))
+        least = most or least
+        if not large.isEmpty():
+            again = written(_texts(docs, classes, large.select("node")).mapInArrow(_fresh(depth), "tree int, prefix long, node long, n long"), "fresh")
+            groups.append(_mixed(again, comp, 1))
+    every = reduce(DataFrame.unionByName, groups)
+    pairs = written(_pairs_within(every.where(F.col("size") <= SMALL_REGION)), "rest")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    broad = every.where(F.col("size") > SMALL_REGION)
+    texts = _texts(docs, classes, ends.unionByName(broad.select("node")))
+    found = confirmed(pairs, texts)
     if not broad.isEmpty():
-        links = written(_links_within(broad, _texts(docs, named(broad))), "links")
-    pairs = written(pairs.distinct(), "rest")
-    found = written(confirmed(pairs, _texts(docs, pairs)), "links")
-    return found if links is None else found.unionByName(links)
+        found = found.unionByName(_links_within(broad, texts))
+    return written(found, "links")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes that the pairs name."""
-    named = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
-    if named.count() <= MOST_BROADCAST:  # ids of eight bytes; beyond that the texts are shuffled
-        named = F.broadcast(named)
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return written(rows.join(named, "node", "left_semi").dropDuplicates(["node"]), "texts")
+def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of some nodes; of several texts of one node, which have the same shingles, one."""
+    named = written(classes.select("node", "at.doc_id", "at.h").join(nodes.distinct(), "node", "left_semi"), "named")
+    rows = _rows(docs).where("text is not null and doc_id is not null")
+    return written(rows.join(joined_side(named, named.count()), ["doc_id", "h"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
+HAS = "n_shingles > 0 and doc_id is not null"
+SET = ["n_shingles", "f1", "f2"]
 
-    component_id is the least doc_id that can be reached over links, kept whether
-    that is the row's own. A row without a doc_id is linked with nothing and kept.
-    """
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, h, n_shingles, component_id, kept for each row of ``docs``."""
     signed = written(signatures(docs), "signed")
-    sets = ["n_shingles", "f1", "f2"]
-    has = "n_shingles > 0 and doc_id is not null"
-    classes = signed.where(has).groupBy(*sets).agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"))
-    classes = written(classes.withColumnRenamed("n_shingles", "n"), "classes")
+    # a class is named by a number of its own: several texts may have one doc_id
+    classes = signed.where(HAS).groupBy(*SET).agg(F.min(F.struct("doc_id", "h")).alias("at"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumnRenamed("n_shingles", "n").withColumn("node", F.monotonically_increasing_id()), "classes")
     orders = written(forest(classes), "orders")
     pairs = candidates(orders)
-    texts = _texts(docs, pairs)
-    comp = None
-    for _ in range(BEST_ROUNDS):
-        # the heaviest open pair of each node; most of the others fall away as their ends get together
-        best = written(_best(pairs), "best")
-        links = written(confirmed(best, texts), "links")
-        comp = written(components(links if comp is None else links.unionByName(_pairs_of(comp))), "comp")
-        pairs = written(_across(pairs.join(best, ["a", "b"], "left_anti"), comp), "open")
-    links = written(confirmed(pairs, texts), "links")
-    if not links.isEmpty():
-        comp = written(components(links.unionByName(_pairs_of(comp))), "comp")
-    links = dense_links(docs, orders, comp)
-    if not links.isEmpty():
-        comp = written(components(links.unionByName(_pairs_of(comp))), "comp")
-    # A class is named by its least doc_id; its component may hold a class of a lesser one only.
-    named = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "node").join(comp, "node", "left")
-    named = named.select(*sets, F.coalesce("component", "node").alias("component"))
-    out = signed.drop("sig").join(named, sets, "left")
-    component = F.when(F.expr(has), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    texts = _texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    # the heaviest pair of each node first; most of the others fall away as their ends get together
+    best = written(_best(pairs), "best")
+    comp = written(components(written(confirmed(best, texts), "links")), "comp")
+    links = written(confirmed(_across(pairs.join(best, ["a", "b"], "left_anti"), comp), texts), "links")
+    for more in (lambda: links, lambda: dense_links(docs, classes, orders, comp)):
+        found = more()
+        if not found.isEmpty():
+            comp = written(components(found.unionByName(_pairs_of(comp))), "comp")
+    # the least doc_id of each component that has several classes
+    least = comp.join(classes.select("node", "at.doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "node", "at.doc_id").join(comp.join(least, "component").select("node", "least"), "node", "left")
+    named = named.select(*SET, F.coalesce("least", "doc_id").alias("component"))
+    out = signed.drop("sig").join(named, SET, "left")
+    component = F.when(F.expr(HAS), F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
+
+    component_id is the least doc_id that can be reached over links, kept whether that is the row's own.
+    """
+    return _judged(docs).drop("h")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose component has a document of a lesser id.
 
-    Of rows that repeat both doc_id and text all stay.
+    Of rows that repeat both doc_id and text all stay; rows of one doc_id with unlike texts are judged each for itself.
     """
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    id_, h = free(docs, "id", "h")
+    gone = _judged(docs).where("not kept").select(F.col("doc_id").alias(id_), F.col("h").alias(h)).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h)), "left_anti")
