@@ -4,22 +4,25 @@ Every task cuts its documents into shards of a few MB and builds a suffix array
 over the words of each (prefix doubling, from three words on, as deep as the longest
 test item). All suffixes of all test items are binary-searched in it at once, one
 word deeper at a time: that yields each suffix's longest verbatim match with its
-places, and, on the way, every place of each of the item's windows. No row is
-shuffled. The test items go to the tasks in blocks of bounded size; if there is more
-than one block, the documents are passed over once for each.
+places, and, on the way, every place of each of the item's windows. Words compare by hashes
+there; what matches is then compared letter by letter. No row is shuffled. The test
+items go to the tasks in blocks of bounded size; if there is more than one block, the
+documents are passed over once for each, one block after the other, and the driver holds one block at a time.
 
 A window is WINDOW consecutive words of an item, or all of an item that has fewer
 words. A document word inside any place of a window is hit. Null and empty texts
 have no words, an item without words has no windows, an item without an item_id is
-matched but not listed. Equal item_ids count once. Other columns are ignored by
-`matches` and kept by `decontaminated`.
+matched but not listed. Equal item_ids count once; of an item that repeats each text counts. Rows that repeat
+stay. Other columns are ignored by `matches` and kept by `decontaminated`, whatever their names. Without
+documents, or without items, nothing is hit.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +30,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.runs import covered, merged
-from tessera.llm.textops import ALNUM, Words, pieces
+from tessera.llm.tables import free, written
+from tessera.llm.textops import ALNUM, LOWER, Words, pieces
 
 WINDOW = 10
 SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 16 << 20
 
-_BITS = 21
+#: Of a word's number, where three fit into a sort key; where numbers are larger, one does.
+BITS = 21
 
 
 @dataclass
 class Tests:
-    """A block of test items: the words of all, each item's first word and name."""
+    """A block of test items: the words of all (as hashes, and lower-cased), each item's first word and name."""
 
     words: np.ndarray
+    letters: list[bytes]
     first: np.ndarray
     names: list[str | None]
     window: int
 
     @classmethod
     def of(cls, names: list, texts: list, window: int) -> Tests:
-        words, first = [], [0]
+        words, letters, first = [], [], [0]
         for _, _, data, offsets in pieces(pa.array(texts, pa.string())):
             w = Words(data, offsets, ALNUM)
             words.append(w.hash)
+            whole = LOWER[data].tobytes()
+            letters += [whole[a:b] for a, b in zip(w.start, w.end, strict=True)]
             first += (w.first[1:] + first[-1] - w.first[0]).tolist() if len(offsets) > 1 else []
-        return cls(np.concatenate(words) if words else np.empty(0, np.uint64), np.array(first), [None if x is None else str(x) for x in names], window)
+        return cls(np.concatenate(words) if words else np.empty(0, np.uint64), letters, np.array(first), [None if x is None else str(x) for x in names], window)
 
 
 def suffix_array(ids: np.ndarray, last: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of ``ids`` (1 and up, below 2^21) in order of their first ``depth`` words.
+    """The suffixes of ``ids`` (1 and up) in order of their first ``depth`` words.
 
     A suffix ends with its text, at the place ``last`` has for it; ends come before words.
     """
     n = len(ids)
     at = np.arange(n)
-    key = ids << (2 * _BITS)
-    for k in (1, 2):
+    h = 3 if n == 0 or int(ids.max()) < 1 << BITS else 1
+    key = ids << (2 * BITS) if h == 3 else ids.copy()
+    for k in range(1, h):
         inside = at + k < last
-        key[inside] |= ids[at[inside] + k] << ((2 - k) * _BITS)
-    order = np.argsort(key)
+        key[inside] |= ids[at[inside] + k] << ((2 - k) * BITS)
+    order = np.argsort(key, kind="stable")
     new = np.empty(n, dtype=bool)
     new[:1] = True
     new[1:] = key[order[1:]] != key[order[:-1]]
@@ -74,7 +83,6 @@ def suffix_array(ids: np.ndarray, last: np.ndarray, depth: int) -> np.ndarray:
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, n))
     rank[order] = np.repeat(begin, size)
-    h = 3
     open_ = np.flatnonzero(np.repeat(size > 1, size))  # places in the order that are not settled yet
     while h < depth and len(open_):
         who = order[open_]
@@ -116,8 +124,8 @@ def _narrowed(ids: np.ndarray, last: np.ndarray, order: np.ndarray, lo: np.ndarr
     return bound(False), bound(True)
 
 
-def search(hashes: np.ndarray, first: np.ndarray, tests: Tests) -> tuple[np.ndarray, list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """For the words of a shard: which are hit; (item, item word, shard word, length) of the longest matches; (item, shard word) of windows."""
+def search(hashes: np.ndarray, first: np.ndarray, tests: Tests) -> tuple[np.ndarray, list[tuple[int, int, int, int]], list[tuple[int, int, np.ndarray]]]:
+    """For the words of a shard: which are hit; (item, item word, shard word, length) of the longest matches; (item, word of all, shard words) of windows."""
     n = len(hashes)
     hit = np.zeros(n + 1, dtype=np.int64)
     n_test = len(tests.words)
@@ -151,7 +159,7 @@ def search(hashes: np.ndarray, first: np.ndarray, tests: Tests) -> tuple[np.ndar
             hit[where] += 1
             ends = where + goal[t]
             np.subtract.at(hit, ends, 1)
-            windows.append((int(item[t]), where))
+            windows.append((int(item[t]), int(t), where))
         # those that can't go deeper have their longest match here
         ended = full & (room[active] == depth)
         for t, a, b in zip(active[ended], lo[ended], hi[ended], strict=True):
@@ -169,13 +177,41 @@ def search(hashes: np.ndarray, first: np.ndarray, tests: Tests) -> tuple[np.ndar
     return np.cumsum(hit)[:n] > 0, longest, windows
 
 
+def verbatim(lower: bytes, w: Words, tests: Tests, windows: list[tuple[int, int, np.ndarray]]) -> bool:
+    """Whether all windows are of equal words, not only of equal hashes."""
+    size = np.minimum(tests.window, np.diff(tests.first)).tolist()
+    start, end = w.start, w.end
+    seen: set[tuple[int, int]] = set()
+    for item, t, where in windows:
+        for p in where.tolist():
+            # of a window one word after another only the last is new
+            for k in range(size[item] - 1 if (t - 1, p - 1) in seen else 0, size[item]):
+                if lower[start[p + k] : end[p + k]] != tests.letters[t + k]:
+                    return False
+            seen.add((t, p))
+    return True
+
+
+def _digests(words: Iterator[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in words], dtype=np.uint64)
+
+
+def named(lower: bytes, w: Words) -> np.ndarray:
+    """The words of a shard by a cryptographic hash: slow, for shards in which the fast one met unlike words."""
+    return _digests(lower[a:b] for a, b in zip(w.start, w.end, strict=True))
+
+
+def named_tests(tests: Tests) -> np.ndarray:
+    return _digests(iter(tests.letters))
+
+
 MATCHES = "doc_id long, n_words long, hits array<struct<from:long,until:long>>, items array<string>, longest array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 
 
 def _matcher(tests: Tests):
     out = pa.schema([
         ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("from", pa.int64()), ("until", pa.int64())]))),
-        ("items", pa.list_(pa.string())), ("longest", pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))),
+        ("items", pa.list_(pa.string())), ("longest", pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))), ("sha", pa.string()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +219,8 @@ def _matcher(tests: Tests):
             for row, end, data, offsets in pieces(batch.column("text"), SHARD_BYTES):
                 w = Words(data, offsets, ALNUM)
                 hit, longest, windows = search(w.hash, w.first, tests)
+                if windows and not verbatim(LOWER[data].tobytes(), w, tests, windows):
+                    hit, longest, windows = search(named(LOWER[data].tobytes(), w), w.first, replace(tests, words=named_tests(tests)))
                 docs = end - row
                 hits, items, best = [[] for _ in range(docs)], [set() for _ in range(docs)], [[] for _ in range(docs)]
                 edges = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
@@ -193,7 +231,7 @@ def _matcher(tests: Tests):
                         until = min(b, int(w.first[d + 1]))
                         hits[d].append({"from": int(a - w.first[d]), "until": int(until - w.first[d])})
                         a = until
-                for i, where in windows:
+                for i, _, where in windows:
                     if tests.names[i] is not None:
                         for d in np.unique(np.searchsorted(w.first, where, side="right") - 1):
                             items[d].add(tests.names[i])
@@ -202,56 +240,58 @@ def _matcher(tests: Tests):
                     best[d].append({"item_id": tests.names[i], "item_word": item_word, "doc_word": int(p - w.first[d]), "n_words": length})
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, docs), pa.array(np.diff(w.first).astype(np.int64)), pa.array(hits, out.field("hits").type),
-                     pa.array([sorted(x) for x in items], out.field("items").type), pa.array(best, out.field("longest").type)],
+                     pa.array([sorted(x) for x in items], out.field("items").type), pa.array(best, out.field("longest").type), batch.column("sha").slice(row, docs)],
                     schema=out,
                 )
 
     return run
 
 
-def test_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Tests]:
-    """The test items in blocks of about ``block_bytes``; their number comes from the checked size of all."""
+def test_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[Tests]]:
+    """How many blocks of about ``block_bytes`` the test items make, by the checked size of all; and the blocks, each fetched when it is asked for."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(total // block_bytes) + 1
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        got = part.collect()
-        yield Tests.of([r.item_id for r in got], [r.text for r in got], window)
+
+    def each() -> Iterator[Tests]:
+        for k in range(blocks):
+            part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            got = part.collect()
+            yield Tests.of([r.item_id for r in got], [r.text for r in got], window)
+
+    return blocks, each()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and sha, by which texts are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("sha", F.sha2("text", 256))
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[DataFrame]:
+    """MATCHES and sha of every row of ``docs``, for one block of items after the other.
+
+    Of several blocks each result is written before the next block is fetched.
+    """
+    rows = _keyed(docs)
+    blocks, tests = test_blocks(benchmark, window, block_bytes)
+    for k, t in enumerate(tests):
+        out = rows.mapInArrow(_matcher(t), MATCHES + ", sha string")
+        # of later blocks only what they hit counts
+        yield out if blocks == 1 else written(out if k == 0 else out.where("size(hits) > 0"), "matches")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, hits (runs of hit words), items (with windows in the text, sorted), longest (matches that no
     longer one of the same item suffix beats in the shard) for every row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = [rows.mapInArrow(_matcher(t), MATCHES) for t in test_blocks(benchmark, window, block_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    # Each pass returns all rows; those of equal id and length are told apart by nothing that
-    # matters, as equal rows have equal matches.
-    keyed = [rows.select("doc_id", F.sha2("text", 256).alias("_sha"), "text").mapInArrow(_keyed(t), MATCHES + ", _sha string") for t in test_blocks(benchmark, window, block_bytes)]
-    out = keyed[0]
-    more = keyed[1]
-    for x in keyed[2:]:
-        more = more.unionByName(x)
-    more = more.where("size(hits) > 0").groupBy("doc_id", "_sha").agg(F.flatten(F.collect_set("hits")).alias("h"), F.flatten(F.collect_set("items")).alias("i"), F.flatten(F.collect_set("longest")).alias("l"))
-    out = out.alias("a").join(more.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a._sha").eqNullSafe(F.col("b._sha")), "left")
-    both = lambda x, y: F.concat(f"a.{x}", F.coalesce(f"b.{y}", F.array()))
-    return out.select("a.doc_id", "a.n_words", merged(both("hits", "h")).alias("hits"), F.array_sort(F.array_distinct(both("items", "i"))).alias("items"), both("longest", "l").alias("longest"))
-
-
-def _keyed(tests: Tests):
-    run = _matcher(tests)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for out in run([batch]):
-                k = out.num_rows
-                yield pa.RecordBatch.from_arrays([*out.columns, batch.column("_sha").slice(at, k)], names=[*out.schema.names, "_sha"])
-                at += k
-
-    return keyed
+    first, *rest = _passes(docs, benchmark, window, block_bytes)
+    if not rest:
+        return first.drop("sha")
+    # equal texts have equal matches
+    more = reduce(DataFrame.unionByName, [x.dropDuplicates(["sha"]) for x in rest]).groupBy("sha")
+    more = more.agg(F.flatten(F.collect_list("hits")).alias("h"), F.flatten(F.collect_list("items")).alias("i"), F.flatten(F.collect_list("longest")).alias("l"))
+    both = lambda x, y: F.concat(x, F.coalesce(y, F.array()))
+    out = first.join(more, "sha", "left")
+    return out.select("doc_id", "n_words", merged(both("hits", "h")).alias("hits"), F.array_sort(F.array_distinct(both("items", "i"))).alias("items"), both("longest", "l").alias("longest"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -263,17 +303,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the documents that hold a window of any item.
 
     The text decides, not the id: rows that repeat a doc_id are told apart by their text.
     """
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.col("text").cast("string"), 256).alias("_sha"))
-    gone = None
-    for t in test_blocks(benchmark, window):
-        found = rows.select("doc_id", "text", "_sha").mapInArrow(_keyed(t), MATCHES + ", _sha string").where("size(hits) > 0").select("_sha")
-        gone = found if gone is None else gone.unionByName(found)
-    return docs.join(gone.distinct().withColumnRenamed("_sha", "_gone"), F.sha2(F.col("text").cast("string"), 256) == F.col("_gone"), "left_anti")
+    found = [p.where("size(hits) > 0").select("sha") for p in _passes(docs.where("text is not null"), benchmark, window, block_bytes)]
+    (sha,) = free(docs, "sha")
+    gone = reduce(DataFrame.unionByName, found).distinct().withColumnRenamed("sha", sha)
+    return docs.join(gone, F.sha2(F.col("text").cast("string"), 256) == F.col(sha), "left_anti")
 
 
 def digest(items: list[str]) -> str:
