@@ -2,10 +2,12 @@
 
 Changes are signed: an insert adds a document and its tokens, a delete takes both away, a
 revision adds the difference of the counts. A batch of changes is summed by source,
-language and tokenizer version before anything is shuffled, and committed as a small table
-under its batch id; a batch that is committed already is left as it is, so a batch can be
-sent again after a failure. Totals are sums over the committed batches; `compact` folds
-these into one.
+language and tokenizer version before anything is shuffled, and written as a small table. A log
+says which tables count and which batches are in them: each of its entries is the whole state, and the latest one
+holds. An entry appears at once or not at all, and never replaces another, so a batch is
+committed once, however often it is sent and whoever else commits meanwhile, and a reader sees all of a
+batch or nothing. Totals are sums over the tables of the latest entry; `compact` folds these into one
+table with an entry of its own. What it replaced stays until the next one, for readers that are not done.
 
 Null sources, languages and tokenizers are keys of their own. Null counts count as no
 tokens. A change with an unknown kind fails. Empty batches can be committed. Rows that
@@ -15,11 +17,14 @@ repeat count each. Other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import written
+from tessera.sources.journal import Journal
 
 KEY = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -40,11 +45,14 @@ def bpe(path: str, text: Column | str = "text") -> Column:
     import pandas as pd
 
     @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        return pd.Series([len(e.ids) for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)])
+        t.no_truncation()
+        t.no_padding()
+        for texts in batches:
+            yield pd.Series([len(e.ids) for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)], dtype="int64")
 
     return count(text)
 
@@ -85,51 +93,69 @@ def changes_between(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(*cols, "kind", F.coalesce("a.n_tokens", "b.old_tokens").alias("n_tokens"), "b.old_tokens")
 
 
+@dataclass(frozen=True)
+class State:
+    """A log entry: its number, the tables that count, the batches in them, tables that the last compaction replaced."""
+
+    version: int = 0
+    tables: tuple[str, ...] = ()
+    batches: tuple[str, ...] = ()
+    replaced: tuple[str, ...] = ()
+
+
 class Rollup:
-    """Totals in a folder that all executors share, one table for each committed batch."""
+    """Totals in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.journal = spark, path, Journal(spark, path)
+
+    def state(self) -> State:
+        """The latest log entry."""
+        version, said = self.journal.latest()
+        return State(version, *(tuple(said[k]) for k in ("tables", "batches", "replaced"))) if said else State()
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _advance(self, to: State) -> bool:
+        return self.journal.advance(to.version, {"tables": to.tables, "batches": to.batches, "replaced": to.replaced})
 
-    def _files(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _written(self, rows: DataFrame) -> str:
+        name = f"table-{uuid.uuid4().hex}"
+        rows.coalesce(1).write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _read(self, state: State) -> DataFrame:
+        rows = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/{t}" for t in state.tables)) if state.tables else self.spark.createDataFrame([], DELTA)
+        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
     def batches(self) -> list[str]:
-        """The ids of the committed batches (a folded one counts as committed)."""
-        fs, root = self._files(), self._path("")
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(n.removeprefix("batch-") for n in names if n.startswith("batch-"))
+        """The ids of the committed batches."""
+        return sorted(self.state().batches)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of changes; False, and nothing done, if the batch is there already."""
-        fs, target = self._files(), self._path(f"batch-{batch}")
-        if fs.exists(target):
-            return False
-        made = f"trial-{uuid.uuid4().hex}"
-        signed(changes).coalesce(1).write.parquet(f"{self.path}/{made}")
-        # the name is what commits: it appears at once, with all its files
-        if fs.exists(target) or not fs.rename(self._path(made), target):
-            fs.delete(self._path(made), True)
-            return False
-        return True
+        table = None
+        while batch not in (now := self.state()).batches:
+            table = table or self._written(signed(changes))
+            if self._advance(State(now.version + 1, (*now.tables, table), (*now.batches, batch), now.replaced)):
+                return True
+        if table:  # another one was faster
+            self.journal.delete(table)
+        return False
 
     def totals(self) -> DataFrame:
         """KEY, n_docs, n_tokens over all committed batches; keys whose documents are all gone are left out."""
-        paths = [f"{self.path}/batch-{b}" for b in self.batches()]
-        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
-
-    def compact(self, batch: str) -> None:
-        """Folds all committed batches into ``batch``; the others stay known, without rows."""
-        fs, old = self._files(), self.batches()
-        made = f"trial-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{self.path}/{made}")
-        empty = self.spark.createDataFrame([], DELTA)
-        for b in old:
-            fs.delete(self._path(f"batch-{b}"), True)
-            empty.write.parquet(f"{self.path}/batch-{b}")
-        fs.delete(self._path(f"batch-{batch}"), True)
-        fs.rename(self._path(made), self._path(f"batch-{batch}"))
+        return self._read(self.state())
+
+    def compact(self) -> None:
+        """Folds the tables of all committed batches into one."""
+        folded = self.state()
+        table = self._written(self._read(folded))
+        while True:
+            now = self.state()
+            if not set(folded.tables) <= set(now.tables):  # folded by another one meanwhile
+                self.journal.delete(table)
+                return
+            more = tuple(t for t in now.tables if t not in folded.tables)
+            if self._advance(State(now.version + 1, (table, *more), now.batches, folded.tables)):
+                for old in now.replaced:
+                    self.journal.delete(old)
+                return
