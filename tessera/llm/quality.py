@@ -8,8 +8,10 @@ a document's score is the mean of its lines' marginals, weighted by length.
 
 Null and empty texts, which have no lines, score the share of good documents in the
 sample. Rows that repeat stay, each with its score. Only the text enters a score.
-Labels of unknown documents and null labels are ignored; without any label of both
-kinds every score is that share (or a half).
+Labels of unknown documents and null labels are ignored, and so are those of a doc_id with labels
+of both kinds; without any label of both kinds every score is that share (or a half).
+Of a doc_id with several texts each is fitted. Other columns pass through, whatever their names;
+one named score is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.textops import UNSPACED, Words, byte_class, pieces
 
@@ -28,6 +31,10 @@ from tessera.llm.textops import UNSPACED, Words, byte_class, pieces
 MOST_DOCUMENTS = 1600
 #: Lines of one fitted document at most; of longer ones runs of this length are fitted as documents of their own.
 MOST_LINES = 60
+#: Documents of one batch of a step.
+BATCH = 512
+#: Such runs of one fitted document at most, evenly spaced; all lines count where documents are scored.
+MOST_RUNS = 8
 STEPS = 120
 THRESHOLD = 0.3
 
@@ -147,26 +154,27 @@ def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int =
     x = (features - mean) / scale
     length = np.diff(first)
     label = label.astype(float)
-    y = np.repeat(label, length)
     weight, moves, start = np.zeros(N_FEATURES + 1), np.zeros((2, 2)), np.zeros(2)
     state = [np.zeros(N_FEATURES + 7), np.zeros(N_FEATURES + 7)]
     good_docs = max(1.0, label.sum())
-    share = np.where(label > 0, 0.5 / good_docs, 0.5 / max(1.0, len(label) - label.sum()))  # both labels weigh the same
-    share = share / np.maximum(length, 1) * 1.0
-    each = np.repeat(share, length)
+    share = np.where(label > 0, 0.5 / good_docs, 0.5 / max(1.0, len(label) - label.sum())) / np.maximum(length, 1)  # both labels weigh the same
     kinds = np.stack([1 - label, label], axis=1)
     for step in range(1, steps + 1):
         if not len(x):
             break
-        rows, _ = padded(x @ weight[:-1] + weight[-1], first)
-        good, pairs, _ = forward_backward(rows, length, moves, start)
-        marginal = good[np.repeat(np.arange(len(length)), length), np.arange(len(y)) - np.repeat(first[:-1], length)]
-        wrong = (y - marginal) * each
-        seen = np.zeros((2, 2))
-        seen[0, 0], seen[1, 1] = ((length - 1) * (1 - label) * share).sum(), ((length - 1) * label * share).sum()
-        g_moves = seen - (pairs * share[:, None, None]).sum(axis=0)
-        g_start = ((kinds - np.stack([1 - good[:, 0], good[:, 0]], axis=1)) * share[:, None]).sum(axis=0)
-        g = np.concatenate([wrong @ x, [wrong.sum()], g_moves.ravel(), g_start])
+        g = np.zeros(N_FEATURES + 7)
+        for at in range(0, len(length), BATCH):  # so that what a step needs besides x is small
+            docs = slice(at, at + BATCH)
+            bounds = first[at : at + BATCH + 1]
+            own, n = x[bounds[0] : bounds[-1]], length[docs]
+            rows, _ = padded(own @ weight[:-1] + weight[-1], bounds - bounds[0])
+            good, pairs, _ = forward_backward(rows, n, moves, start)
+            marginal = good[np.repeat(np.arange(len(n)), n), np.arange(len(own)) - np.repeat(bounds[:-1] - bounds[0], n)]
+            wrong = np.repeat(share[docs], n) * (np.repeat(label[docs], n) - marginal)
+            seen = np.diag([((n - 1) * (1 - label[docs]) * share[docs]).sum(), ((n - 1) * label[docs] * share[docs]).sum()])
+            g_moves = seen - (pairs * share[docs][:, None, None]).sum(axis=0)
+            g_start = ((kinds[docs] - np.stack([1 - good[:, 0], good[:, 0]], axis=1)) * share[docs][:, None]).sum(axis=0)
+            g += np.concatenate([wrong @ own, [wrong.sum()], g_moves.ravel(), g_start])
         g[:N_FEATURES] -= decay * weight[:-1]
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
@@ -204,19 +212,30 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False)) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
 
 
+def _fitted(first: int, until: int) -> np.ndarray:
+    """The lines of a document that it is fitted on: all, or MOST_RUNS runs."""
+    if until - first <= MOST_LINES * MOST_RUNS:
+        return np.arange(first, until)
+    begins = np.linspace(first, until - MOST_LINES, MOST_RUNS).astype(np.int64)
+    return (begins[:, None] + np.arange(MOST_LINES)).ravel()
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, end, data, offsets in pieces(batch.column("text")):
             x, _, first = line_features(data, offsets)
-            flat = x.astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array((first * N_FEATURES).astype(np.int32)), pa.array(flat.ravel()))
+            kept = [_fitted(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
+            flat = x[np.concatenate(kept)].astype(np.float32)
+            bounds = np.concatenate([[0], np.cumsum(list(map(len, kept)))]) * N_FEATURES
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("quality").slice(row, end - row), lists], names=["quality", "x"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, steps: int = STEPS) -> Field:
     """A field fitted to at most ``most`` labelled documents outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.where("quality in (0, 1) and doc_id is not null").where(~held_out()).dropDuplicates(["doc_id"])
+    known = known.where("quality in (0, 1) and doc_id is not null").where(~held_out())
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     share = known.agg(F.avg("quality")).first()[0]
     # both labels alike, by a hash of the id; what comes to one place is `most` ids
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for q in (0, 1)]
@@ -226,26 +245,25 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, step
     few = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, quality int"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id")
     got = rows.select("text", "quality").mapInArrow(_sampled, "quality int, x array<float>").toArrow()
-    x, first, label = [], [0], []
+    runs, label = [], []
     for batch in got.to_batches():
         for q, flat in zip(batch.column("quality").to_pylist(), batch.column("x"), strict=True):
-            lines = np.asarray(flat.values, dtype=float).reshape(-1, N_FEATURES)
+            lines = np.asarray(flat.values).reshape(-1, N_FEATURES)
             for at in range(0, len(lines), MOST_LINES):
-                x.append(lines[at : at + MOST_LINES])
-                first.append(first[-1] + len(x[-1]))
+                runs.append(lines[at : at + MOST_LINES])
                 label.append(q)
-    if not x:
+    if not runs:
         return fit(np.empty((0, N_FEATURES)), np.array([0]), np.empty(0), 0, prior=share)
-    # the order of rows from Spark is not fixed; that of a sum must be
-    order = sorted(range(len(x)), key=lambda i: (label[i], len(x[i]), x[i].tobytes()))
-    first = np.concatenate([[0], np.cumsum([len(x[i]) for i in order])])
-    return fit(np.concatenate([x[i] for i in order]), first, np.array([label[i] for i in order]), steps, prior=share)
+    # the order of rows from Spark is not fixed; that of a sum must be; and such of like length go together
+    order = sorted(range(len(runs)), key=lambda i: (len(runs[i]), label[i], runs[i].tobytes()))
+    first = np.concatenate([[0], np.cumsum([len(runs[i]) for i in order])])
+    return fit(np.concatenate([runs[i] for i in order]).astype(float), first, np.array([label[i] for i in order]), steps, prior=share)
 
 
-def _scorer(field: Field):
+def _scorer(field: Field, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in pieces(batch.column("text")):
+            for row, end, data, offsets in pieces(batch.column(place)):
                 x, length, first = line_features(data, offsets)
                 score = pa.array(document_scores(x, length, first, field), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns), score], names=[*batch.schema.names, "score"])
@@ -255,6 +273,8 @@ def _scorer(field: Field):
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
     """The columns of ``docs`` and score (one that is there already is replaced)."""
-    rows = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "score double"])
-    return rows.mapInArrow(_scorer(field), schema)
+    given = docs.drop("score").withColumn("text", F.col("text").cast("string"))
+    # columns go by place, so that their names don't matter
+    rows = given.toDF(*(f"c{i}" for i in range(len(given.columns))))
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    return rows.mapInArrow(_scorer(field, given.columns.index("text")), schema).toDF(*given.columns, "score")
