@@ -9,8 +9,9 @@ alone. The spans are joined globally, and of each that recurs all but the first
 
 Sentences compare lower-cased and without the marks and white space around them. Null
 texts stay null, without sentences. Rows that repeat a doc_id are told apart by their
-texts; rows equal in both are one document. Other columns pass through
-`deduplicated`; n_sentences and n_removed are added or replaced.
+texts; rows equal in both are one document. A row without a doc_id keeps its text. Other columns pass
+through `deduplicated`, whatever their names; n_sentences and n_removed are added or replaced. An empty table gives an
+empty result. The join on spans has one row a span on one side, so that Spark can split a span with very many copies.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.runs import covered, merged, outside
-from tessera.llm.tables import written
+from tessera.llm.tables import free, written
 
 SPAN = 3
 LONG_WORDS = 25
@@ -74,11 +75,12 @@ def removals(docs: DataFrame, span: int = SPAN, long_words: int = LONG_WORDS, le
 
 def deduplicated(docs: DataFrame, span: int = SPAN, long_words: int = LONG_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated spans removed from `text`, and n_sentences, n_removed."""
-    copy = F.xxhash64(F.col("text").cast("string"))
-    keyed = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), copy.alias("copy"))
-    gone = removals(keyed, span, long_words, least_words).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("runs").alias("_runs"))
-    out = docs.drop("n_sentences", "n_removed").join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (copy == F.col("_copy")), "left")
-    out = out.withColumn("_s", sentences(F.col("text").cast("string")))
-    out = out.withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(outside("_s", "_runs"), "")))
-    out = out.withColumn("n_sentences", F.coalesce(F.size("_s"), F.lit(0)).cast("long")).withColumn("n_removed", covered("_runs"))
-    return out.drop("_id", "_copy", "_runs", "_s")
+    text = F.col("text").cast("string")
+    keyed = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"))
+    rows = docs.drop("n_sentences", "n_removed")
+    id_, copy, runs, s = free(rows, "id", "copy", "runs", "s")
+    gone = removals(keyed, span, long_words, least_words).select(F.col("doc_id").alias(id_), F.col("copy").alias(copy), F.col("runs").alias(runs))
+    out = rows.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(text) == F.col(copy)), "left").withColumn(s, sentences(text))
+    out = out.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(outside(s, runs), "")))
+    out = out.withColumn("n_sentences", F.coalesce(F.size(s), F.lit(0)).cast("long")).withColumn("n_removed", covered(runs))
+    return out.drop(id_, copy, runs, s)
