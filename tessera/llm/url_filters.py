@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import dropped, written
 
 DAMPING = 0.85
-ITERATIONS = 12
+#: Iterations at most, after which 0.85^48, less than a thousandth of the rank, is unsettled.
+ITERATIONS = 48
+#: What may change in all ranks of a kind, which sum to one at most, between two cuts of the lineage for them to count as settled.
+TOLERANCE = 0.01
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Iterations after which the lineage is cut.
@@ -51,9 +54,14 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return rule, verdict
 
 
+def links_of(html: Column) -> Column:
+    """The targets of all links of a page."""
+    return F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"'<>\s]+)["']"""), F.lit(1))
+
+
 def edges(pages: DataFrame) -> DataFrame:
-    """(a, b, w): links from node to node (hosts, and targets within sites as ``/target``), with the number of links."""
-    links = pages.where("host != ''").select("host", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']([^"'<>\s]+)["']"""), F.lit(1))).alias("link"))
+    """(a, b, w): links from node to node (hosts, and targets within sites as ``/target``), with their number, of pages (host, links)."""
+    links = pages.where("host != ''").select("host", F.explode("links").alias("link"))
     links = links.groupBy("host", "link").agg(F.count(F.lit(1)).alias("w"))
     far, _ = parsed(F.col("link"))
     links = links.withColumn("far", F.when(F.col("link").startswith("//"), F.translate(F.regexp_extract("link", r"^//([^/?#]*)", 1), UPPER, LOWER)).otherwise(far))
@@ -63,9 +71,11 @@ def edges(pages: DataFrame) -> DataFrame:
     return other.unionByName(there).unionByName(back).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, node, x): personalised PageRank along the links for kind ``trust``, against them for ``distrust``.
 
+    It ends after ``iterations``, or earlier where no kind changes by more than ``tolerance`` in CUT of them.
+
     seeds (kind, node, x) sums to one for each kind.
     """
     both = links.select(F.lit("trust").alias("kind"), F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("b").alias("u"), F.col("a").alias("v"), "w"))
@@ -79,7 +89,11 @@ def spread(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, dam
         if k % CUT == 0:
             now = written(now, "ranks")
             if old is not None:
+                change = now.join(old.withColumnRenamed("x", "was"), ["kind", "node"], "full").groupBy("kind").agg(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("change"))
+                settled = change.where(F.col("change") > tolerance).isEmpty()
                 dropped(old)
+                if settled:
+                    return now
             old = now
     return now
 
@@ -87,9 +101,10 @@ def spread(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, dam
 def judged(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, iterations: int = ITERATIONS) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust, for every row of ``pages`` (page_id, url, html)."""
     host, path = parsed(F.col("url").cast("string"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), links_of(F.col("html").cast("string")).alias("links"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("said", verdict)
+    # pages are parsed once
+    rows = written(rows.withColumn("rule", rule).withColumn("said", verdict), "pages")
     by_host = rows.groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad"))
     by_host = written(by_host, "hosts")
     g, b = by_host.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
@@ -98,6 +113,6 @@ def judged(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, it
     ranks = spread(edges(rows), seeds, iterations)
     got = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("x"))), F.lit(0.0)).alias(kind)
     hosts = ranks.where("node not like '/%'").groupBy(F.col("node").alias("host")).agg(got("trust"), got("distrust"))
-    out = rows.drop("html").join(hosts, "host", "left").fillna(0.0, ["trust", "distrust"])
+    out = rows.drop("links").join(hosts, "host", "left").fillna(0.0, ["trust", "distrust"])
     own = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "trust", "distrust")
