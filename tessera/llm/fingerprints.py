@@ -1,18 +1,20 @@
 """Document fingerprints by I-Match.
 
-A text's terms are its distinct words. Of these the ones count that lie in a band of inverse
-document frequency: in at least LEAST_DF documents and in at most the share MOST_SHARE of
-all. Several randomised lexicons are drawn by the terms' hashes, SUBSETS of them at every
-rate 1/2, 1/4, ...; a text is hashed under those of the two rates at which about half
-a term of it falls into a lexicon, and a quarter. The fingerprint names the rate and
-has a hash of the sorted terms for each lexicon, or nothing for a lexicon that holds none
-of them. Likeness is the share of equal hashes among the lexicons, at a rate that both
-have, that hold a term of either.
-
-Equal texts have equal fingerprints. Null and empty texts, and texts without words, have no
-terms; their fingerprint has no hashes, and they are alike (1) only to others without. A
-text none of whose drawn terms is in the band is hashed with what it has. Words
-are runs of letters and digits, lower-cased. Rows that repeat stay.
+A text's terms are its distinct words. Of these the ones count that lie in a band of inverse document
+frequency: in at least LEAST_DF documents, in at least the share LEAST_SHARE of all and in at most the share
+MOST_SHARE. All banded terms of a text are sorted and hashed under randomised lexicons: the whole band, and
+FAMILIES families of LEVELS nested lexicons, which keep a half of the band, a quarter, an eighth and
+so on, each family by another random hash of the terms. The fingerprint has a hash for each lexicon that holds a
+term of the text.
+
+Likeness is the largest share, over the levels, of families whose hashes at that level are equal; it is 1 if the hashes
+under the whole band are. A near copy agrees in lexicons that keep much of the band, a text of which
+half is other text only in such that keep a few of its terms.
+
+Equal texts have equal fingerprints. Null and empty texts, and texts without a term in the band, have no hashes; they are
+alike (1) only to others without. Words are runs of letters and digits, lower-cased. Rows that repeat stay; of
+rows with one doc_id the order is that of their texts, rows without a doc_id come last. Other columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from tessera.llm.runs import let
 from tessera.llm.tables import ranked, written
 
-SUBSETS = 32
+FAMILIES = 8
+LEVELS = 12
 LEAST_DF = 2
+LEAST_SHARE = 0.0005
 MOST_SHARE = 0.1
 #: Documents whose ids lie this close are neighbours in one task.
 BUCKET = 2048
@@ -36,97 +40,84 @@ def terms(text: Column | str) -> Column:
     return F.transform(F.array_remove(F.array_distinct(words), ""), lambda w: F.xxhash64(w))
 
 
-def rate_of(terms_: Column) -> Column:
-    """The least j at which SUBSETS lexicons, of rate 1 / (SUBSETS 2^j) each, draw SUBSETS terms or fewer."""
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(terms_), F.lit(1)) / F.lit(float(SUBSETS))))).cast("int")
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """(h, df): in how many rows each term is."""
+    return docs.select(F.explode(terms("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
 
 
-def drawn(terms_: Column, rate: Column) -> Column:
-    """The terms in a lexicon of this rate (those of the next rate are among them)."""
-    span = F.call_function("shiftleft", F.lit(SUBSETS).cast("long"), rate)
-    return F.filter(terms_, lambda h: F.pmod(h, span) < SUBSETS)
+def band(docs: DataFrame, least_df: int = LEAST_DF, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
+    """(h, banded): the terms in the band.
 
+    As each is in the share ``least_share`` of the documents, there are at most 1 / least_share times as many as
+    a document has terms on average, however many documents there are: with 500 terms a document a million, of 8 bytes each.
+    """
+    n = docs.count()
+    kept = document_frequency(docs).where((F.col("df") >= max(least_df, least_share * n)) & (F.col("df") <= max(most_share * n, 5.0)))
+    return written(kept.select("h", F.lit(True).alias("banded")), "band")
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """(h, df): in how many rows each term is."""
-    return docs.select(F.explode(terms("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
 
+def print_of(banded: Column) -> Column:
+    """The fingerprint of sorted terms: ``whole``, and in ``ladder`` for each family its hashes, level by level, up to the last that holds a term."""
 
-def hashes(terms_: Column, rate: Column) -> Column:
-    """For each lexicon of a rate the hash of the sorted terms in it; null if it has none."""
-    span = F.call_function("shiftleft", F.lit(SUBSETS).cast("long"), rate)
-    first, last = F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")
-    drawn_ = F.filter(terms_, lambda h: F.pmod(h, span) < SUBSETS)
-    placed = F.array_sort(F.transform(drawn_, lambda h: F.struct(F.pmod(h, span).alias("c"), h.alias("h"))))
+    def short(terms_: Column) -> Column:
+        return F.shiftright(F.xxhash64(terms_), 32).cast("int")
 
-    def one(c: Column, places: Column, back: Column, own: Column) -> Column:
-        # the terms of a lexicon stand together: from its first place to its last
-        at = F.array_position(places, c).cast("int")
-        n = (F.size(places) + 2 - F.array_position(back, c) - at).cast("int")
-        return F.when(at > 0, F.shiftright(F.xxhash64(F.slice(own, F.greatest(at, F.lit(1)), F.greatest(n, F.lit(0)))), 32).cast("int"))
+    def family(own: Column, k: Column) -> Column:
+        start = F.struct(own.alias("own"), F.array().cast("array<int>").alias("out"))
 
-    def each(all_: Column) -> Column:
-        columns = F.struct(all_["c"].alias("c"), F.reverse(all_["c"]).alias("back"), all_["h"].alias("h"))
-        return let(columns, lambda x: F.transform(F.sequence(first, last), lambda c: one(c, x["c"], x["back"], x["h"])))
+        def deeper(state: Column, level: Column) -> Column:
+            mask = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
+            kept = F.filter(state["own"], lambda h: F.xxhash64(h, k).bitwiseAND(mask) == 0)
+            return let(kept, lambda own_: F.struct(own_.alias("own"), F.when(F.size(own_) > 0, F.concat(state["out"], F.array(short(own_)))).otherwise(state["out"]).alias("out")))
 
-    return let(placed, each)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, deeper)["out"]
+
+    ladder = lambda own: F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda k: family(own, k))
+    return let(F.array_sort(banded), lambda own: F.struct(F.when(F.size(own) > 0, short(own)).alias("whole"), ladder(own).alias("ladder")))
 
 
 def as_text(print_: Column) -> Column:
-    """rate:hashes/hashes, a dash for a lexicon without terms."""
-    side = lambda a: F.array_join(F.transform(a, lambda h: F.when(h.isNull(), "-").otherwise(F.lower(F.right(F.hex(h.cast("long")), F.lit(8))))), ".")
-    return F.concat(print_["rate"].cast("string"), F.lit(":"), side(print_["a"]), F.lit("/"), side(print_["b"]))
+    """The whole band's hash and each family's hashes, in hexadecimal."""
+    text = lambda h: F.lower(F.lpad(F.right(F.hex(h.cast("long")), F.lit(8)), 8, "0"))
+    families = F.transform(print_["ladder"], lambda hashes: F.array_join(F.transform(hashes, text), "."))
+    return F.concat(F.coalesce(text(print_["whole"]), F.lit("-")), F.lit("/"), F.array_join(families, "/"))
 
 
 def likeness(x: Column, y: Column) -> Column:
     """0 to 1, of two fingerprints."""
-    rate = F.greatest(x["rate"], y["rate"])
-    at = lambda p: F.when(p["rate"] == rate, p["a"]).when(p["rate"] == rate - 1, p["b"])
-    pairs = F.arrays_zip(at(x).alias("x"), at(y).alias("y"))
-    either = F.size(F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
-    same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
-    none = lambda p: F.forall(p["a"], lambda h: h.isNull())
-    return F.when(none(x) & none(y), 1.0).otherwise(F.coalesce(F.when(either > 0, same / F.greatest(either, F.lit(1))), F.lit(0.0)))
+
+    def share(level: Column) -> Column:
+        at = F.zip_with(x["ladder"], y["ladder"], lambda a, b: F.coalesce(F.get(a, level) == F.get(b, level), F.lit(False)))
+        return F.size(F.filter(at, lambda same: same)) / FAMILIES
+
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), share))
+    return F.when(x["whole"].eqNullSafe(y["whole"]), 1.0).otherwise(best)
 
 
-def prints(sampled: DataFrame, key: list[str], kinds: list[str], n_docs: int, frequency: DataFrame, deal: list[str], least_df: int = LEAST_DF, most_share: float = MOST_SHARE) -> DataFrame:
-    """``sampled`` with, for each of ``kinds``, the fingerprint struct in place of columns ``<kind>_terms`` and ``<kind>_rate``.
+def prints(rows: DataFrame, key: list[str], kinds: list[str], band_: DataFrame) -> DataFrame:
+    """``rows`` with, for each of one or two ``kinds``, the fingerprint struct in place of the column of terms.
 
-    ``sampled`` is dealt out by ``deal``, columns of the key, and so is the result. There are one or two ``kinds``. The
-    terms in the band meet the drawn terms in a shuffle, at every size.
+    The band is of bounded size (see `band`) and goes to all executors, at every size of the input: terms that are not in it
+    leave the rows where they are, and rows that are dealt out by (some of) the ``key`` stay there.
     """
-    rates = [f"{k}_rate" for k in kinds]
-    other = [c for c in sampled.columns if c not in key and not c.endswith("_terms")]
+    other = [c for c in rows.columns if c not in key and c not in kinds]
 
     def marked(bits: int, terms_: Column) -> Column:
         return F.transform(terms_, lambda h: F.struct(F.lit(bits).cast("byte").alias("bits"), h.alias("h")))
 
-    def used(kind: int) -> Column:
-        own = F.filter("all", lambda x: x["bits"].bitwiseAND(F.lit(1 << kind).cast("byte")) != 0)
-        return let(own, lambda o: let(F.filter(o, lambda x: x["banded"]), lambda banded: F.when(F.size(banded) > 0, banded["h"]).otherwise(o["h"])))
-
-    most = max(most_share * n_docs, 5.0)
-    band = frequency.where((F.col("df") >= least_df) & (F.col("df") <= most)).select("h", F.lit(True).alias("banded"))
-    band = written(band, "band")
-    # a term that both kinds drew goes once, with both bits
-    own, *new = (F.col(f"{k}_terms") for k in kinds)
+    # a term of both kinds goes once, with both bits
+    own, *new = (F.col(k) for k in kinds)
     marks = [marked(1, F.array_except(own, new[0])), marked(2, F.array_except(new[0], own)), marked(3, F.array_intersect(own, new[0]))] if new else [marked(1, own)]
-    rows = sampled.select(*key, F.struct(*other).alias("other"), F.posexplode_outer(F.flatten(F.array(*marks))).alias("i", "x"))
+    each = rows.select(*key, F.struct(*other, F.lit(0).alias("_")).alias("other"), F.posexplode_outer(F.flatten(F.array(*marks))).alias("i", "x"))
     # one row of each key carries the other columns
-    rows = rows.select(*key, F.when(F.coalesce("i", F.lit(0)) == 0, F.col("other")).alias("other"), "x.bits", "x.h")
-    # the band grows with the vocabulary: always a shuffle, whose large partitions Spark splits
-    rows = rows.join(band.hint("merge"), "h", "left").repartition(*deal)
-    term = F.when(F.col("h").isNotNull(), F.struct("bits", "h", F.coalesce("banded", F.lit(False)).alias("banded")))
-    rows = rows.groupBy(*key).agg(F.first("other", ignorenulls=True).alias("other"), F.collect_list(term).alias("all"))
-    rows = rows.select(*key, "other.*", "all")
+    each = each.select(*key, F.when(F.coalesce("i", F.lit(0)) == 0, F.col("other")).alias("other"), "x.bits", "x.h")
+    each = each.join(F.broadcast(band_), "h", "left").where("banded or other is not null")
+    each = each.groupBy(*key).agg(F.first("other", ignorenulls=True).alias("other"), F.collect_list(F.when(F.col("banded"), F.struct("bits", "h"))).alias("all"))
 
-    def print_(kind: int) -> Column:
-        rate = F.col(rates[kind])
-        return let(used(kind), lambda t: F.struct(rate.alias("rate"), hashes(t, rate).alias("a"), hashes(t, rate + 1).alias("b")))
+    def of(kind: int) -> Column:
+        return F.transform(F.filter("all", lambda x: x["bits"].bitwiseAND(F.lit(1 << kind).cast("byte")) != 0), lambda x: x["h"])
 
-    for i, k in enumerate(kinds):
-        rows = rows.withColumn(k, print_(i))
-    return rows.drop("all", *rates)
+    return each.select(*key, *(F.col("other")[c].alias(c) for c in other), *(print_of(of(i)).alias(k) for i, k in enumerate(kinds)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -135,7 +126,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     After the last comes the first. Ids are dealt out in buckets, and sorted there; the seams between
     buckets are a row for each bucket.
     """
-    bucket = F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62)).cast("long"))
+    # rows without an id come last, dealt by their texts
+    bucket = F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62)) + F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc(), F.col("text").desc())
     rows = docs.select(bucket.alias("bucket"), "doc_id", "text")
     rows = rows.select("*", F.row_number().over(w).alias("at"), F.lead(F.struct("text")).over(w).alias("ahead"))
@@ -160,22 +152,14 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(other, F.lit(1), half))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, least_df: int = LEAST_DF, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
     """(doc_id, fingerprint) for each row of ``docs`` (doc_id, text); equal texts get equal ones."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    n, frequency = rows.count(), document_frequency(rows)
     keyed = rows.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "text")
-    texts = keyed.dropDuplicates(["h1", "h2"]).withColumn("t", terms("text"))
-    sampled = texts.select("h1", "h2", rate_of(F.col("t")).alias("own_rate"), drawn(F.col("t"), rate_of(F.col("t"))).alias("own_terms"))
-    made = prints(written(sampled, "sampled"), ["h1", "h2"], ["own"], n, frequency, ["h1", "h2"])
-    return keyed.select("doc_id", "h1", "h2").join(made, ["h1", "h2"], "left").select("doc_id", as_text(_or_none(F.col("own"))).alias("fingerprint"))
-
-
-def _or_none(print_: Column) -> Column:
-    """The fingerprint of what has no terms, for null."""
-    empty = F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda i: F.lit(None).cast("int"))
-    return F.coalesce(print_, F.struct(F.lit(0).alias("rate"), empty.alias("a"), empty.alias("b")))
+    texts = keyed.dropDuplicates(["h1", "h2"]).select("h1", "h2", terms("text").alias("own"))
+    made = prints(texts, ["h1", "h2"], ["own"], band(rows, least_df, least_share, most_share))
+    return keyed.select("doc_id", "h1", "h2").join(made, ["h1", "h2"]).select("doc_id", as_text(F.col("own")).alias("fingerprint"))
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
@@ -185,9 +169,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     pairs = with_next(rows).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     pairs = pairs.select("bucket", "at", "doc_id", "next_bucket", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), terms("text").alias("own"), terms("edited").alias("new"))
-    for k in ("own", "new"):
-        pairs = pairs.withColumn(f"{k}_rate", rate_of(F.col(k))).withColumn(f"{k}_terms", drawn(F.col(k), F.col(f"{k}_rate"))).drop(k)
-    made = prints(pairs, ["bucket", "at"], ["own", "new"], rows.count(), document_frequency(rows), ["bucket"])
+    made = prints(pairs, ["bucket", "at"], ["own", "new"], band(rows))
     ahead = F.lead("own").over(Window.partitionBy("bucket").orderBy("at"))
     made = made.withColumn("next", ahead).withColumn("near_next", F.when(F.col("next").isNotNull(), likeness(F.col("own"), F.col("next"))))
     made = written(made.drop("next"), "prints")
