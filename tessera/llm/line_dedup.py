@@ -11,14 +11,15 @@ copies; the lines that they cover are deleted. As every sub-run of a repeated ru
 repeated, that deletes the maximal repeated runs whole. With ``long_words`` later copies of single lines
 of at least so many words go too.
 
-Hot lines do no harm: names come from counts by key, which are summed before they are
-shuffled, and go back over joins that can be split. Names, and runs to delete, are sent to all
-executors up to a checked number of rows; beyond it the join shuffles.
+Hot lines do no harm: names, and first copies, come from sums by key, which are summed before they are
+shuffled; names go back over a join with one row a key on the other side, which can be split; first
+copies are told from later ones by their place, not by their name. Every join shuffles, at every size.
 
 Lines are what stands between newlines; blank ones count, though a run of blank lines
 alone is kept. Null texts stay null and have no lines; an empty text has one blank line.
 Rows that repeat a doc_id are told apart by their texts; rows equal in both
-are one document and get the same text. Other columns pass through `deduplicated`.
+are one document and get the same text. A row without a doc_id keeps its text. Ties among copies go by (doc_id, the
+text's hash, line). Other columns pass through `deduplicated`, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.runs import covered, merged, outside
-from tessera.llm.tables import dropped, joined_side, ranked, written
+from tessera.llm.tables import dropped, free, ranked, written
 
 MIN_LINES = 2
 #: Words of a line that is a passage by itself.
@@ -49,8 +50,7 @@ def lines_of(docs: DataFrame, long_words: int | None = None) -> DataFrame:
 def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     """The rows whose key occurs more than once, with ``name``: the key's place in the order of keys."""
     keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    keys = ranked(keys, [F.col(k) for k in key], name).select(*key, name)
-    return rows.join(joined_side(keys, keys.count()), key)
+    return rows.join(ranked(keys, [F.col(k) for k in key], name).select(*key, name), key)
 
 
 def suffix_names(lines: DataFrame) -> list[tuple[int, DataFrame]]:
@@ -91,9 +91,10 @@ def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             key, length = ["name"], h
         if length < min_lines and h >= base:
             continue
-        at = F.struct(*WHERE)
-        first = names.where("not blank").groupBy(*key).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-        out.append(names.where("not blank").join(first, key).where(at != F.col("first")).select(*WHERE, F.lit(length).alias("h")))
+        names = names.where("not blank")
+        first = names.groupBy(*key).agg(F.min(F.struct(*WHERE)).alias("first")).select("first.*")
+        # first copies go by their place: a name may be that of very many lines
+        out.append(names.join(first, WHERE, "left_anti").select(*WHERE, F.lit(length).alias("h")))
     if not out:
         return lines.select(*WHERE, F.lit(0).alias("h")).limit(0)
     return reduce(DataFrame.unionByName, out)
@@ -109,15 +110,14 @@ def removals(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated line runs (and of lines of ``long_words`` and more) deleted from `text`, and n_lines, n_removed, longest_run added (or replaced)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("copy", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
+    text, sha = F.col("text").cast("string"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0).cast("long"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), sha.alias("copy"))
     gone = removals(lines_of(keyed.where("doc_id is not null"), long_words), min_lines)
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("runs").alias("_runs"), F.col("longest_run").alias("_longest"))
-    gone = written(gone, "gone")
-    gone = joined_side(gone, gone.agg(F.coalesce(F.sum(F.size("_runs") + 1), F.lit(0))).first()[0])
-    key = (F.col("doc_id").cast("long") == F.col("_id")) & (F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0).cast("long")) == F.col("_copy"))
-    out = docs.drop("n_lines", "n_removed", "longest_run").join(gone, key, "left")
-    out = out.withColumn("_lines", F.split(F.col("text").cast("string"), "\n"))
-    out = out.withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(outside("_lines", "_runs"), "\n")))
-    out = out.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", covered("_runs")).withColumn("longest_run", F.coalesce("_longest", F.lit(0)).cast("long"))
-    return out.drop("_id", "_copy", "_runs", "_longest", "_lines")
+    rows = docs.drop("n_lines", "n_removed", "longest_run")
+    id_, copy, runs, longest, lines = free(rows, "id", "copy", "runs", "longest", "lines")
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("copy").alias(copy), F.col("runs").alias(runs), F.col("longest_run").alias(longest))
+    out = rows.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (sha == F.col(copy)), "left").withColumn(lines, F.split(text, "\n"))
+    out = out.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(outside(lines, runs), "\n")))
+    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    out = out.withColumn("n_removed", covered(runs)).withColumn("longest_run", F.coalesce(longest, F.lit(0)).cast("long"))
+    return out.drop(id_, copy, runs, longest, lines)
