@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import Any
 
@@ -10,6 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _field(key: str) -> Callable[[str], Column]:
+    """The field of this name in ``metadata``, as some type. Paths can't say all names; the others are looked up in a map."""
+    if key and not set(key) & set("'?"):
+        return lambda kind: F.try_variant_get("metadata", f"$['{key}']", kind)
+    return lambda kind: F.try_variant_get(F.try_variant_get("metadata", "$", "map<string,variant>")[key], "$", kind)
+
+
 def matches(df: DataFrame, filters: Mapping[str, Any] | None) -> Column:
     """Whether a row has all these values; a missing value equals None, and text never equals a number.
 
@@ -21,19 +28,14 @@ def matches(df: DataFrame, filters: Mapping[str, Any] | None) -> Column:
             number, text = not isinstance(value, str), df.schema[key].dataType.typeName() == "string"
             tests.append(F.lit(False) if value is not None and number == text else F.col(key).eqNullSafe(F.lit(value)))
         elif "metadata" in df.columns:
-            # a field name is quoted, so that any name is a name and no path
-            path = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+            get = _field(key)
+            kind = F.schema_of_variant(get("variant"))
             if isinstance(value, str):
-                field = F.try_variant_get("metadata", path, "string")
-                kind = F.schema_of_variant(F.try_variant_get("metadata", path, "variant"))
-                tests.append(F.coalesce((field == value) & (kind == "STRING"), F.lit(False)))
+                tests.append(F.coalesce((get("string") == value) & (kind == "STRING"), F.lit(False)))
             elif value is None:
-                field = F.try_variant_get("metadata", path, "variant")
-                tests.append(field.isNull() | F.is_variant_null(field))
+                tests.append(get("variant").isNull() | F.is_variant_null(get("variant")))
             else:
-                kind = F.schema_of_variant(F.try_variant_get("metadata", path, "variant"))
-                truth = F.try_variant_get("metadata", path, "boolean").cast("double")
-                number = F.when(kind == "BOOLEAN", truth).otherwise(F.try_variant_get("metadata", path, "double"))
+                number = F.when(kind == "BOOLEAN", get("boolean").cast("double")).otherwise(get("double"))
                 tests.append(F.coalesce((number == float(value)) & (kind != "STRING"), F.lit(False)))
         else:
             tests.append(F.lit(value is None))

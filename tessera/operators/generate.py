@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator
+from urllib import error, request
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,11 +71,11 @@ def local_server(name: str = "llama3:latest", host: str = "http://localhost:1143
     def load() -> Generate:
         def generate(system: str, user: str) -> str:
             body = {"model": name, "system": system, "prompt": user, "stream": False, "options": {"num_predict": max_tokens, "temperature": temperature}}
-            request = urllib.request.Request(f"{host.rstrip('/')}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"}, method="POST")
+            asked = request.Request(f"{host.rstrip('/')}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"}, method="POST")
             try:
-                with urllib.request.urlopen(request, timeout=timeout) as reply:
+                with request.urlopen(asked, timeout=timeout) as reply:
                     return json.load(reply).get("response", "")
-            except urllib.error.URLError as e:
+            except error.URLError as e:
                 raise ConnectionError(f"no model server at {host}: {e}") from e
 
         return generate

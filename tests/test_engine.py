@@ -315,10 +315,10 @@ def test_broken_files(spark, tmp_path):
 
 
 def test_metadata_filters(spark):
-    rows = [('{"a": "x", "n": 1, "b": true, "it\'s": 2}',), ('{"a": null, "n": 2.5}',), ("{}",)]
+    rows = [('{"a": "x", "n": 1, "b": true, "it\'s": 2, "a.b[0]": "y"}',), ('{"a": null, "n": 2.5}',), ("{}",)]
     df = spark.createDataFrame(rows, "metadata string").withColumn("metadata", F.parse_json("metadata"))
     count = lambda f: df.where(filters.matches(df, f)).count()
-    assert [count(f) for f in ({"a": "x"}, {"n": 1}, {"n": 2.5}, {"b": True}, {"a": None}, {"n": "1"}, {"it's": 2}, {"a": "x", "n": 1}, {}, None)] == [1, 1, 1, 1, 2, 0, 1, 1, 3, 3]
+    assert [count(f) for f in ({"a": "x"}, {"n": 1}, {"n": 2.5}, {"b": True}, {"a": None}, {"n": "1"}, {"it's": 2}, {"a.b[0]": "y"}, {"a": "x", "n": 1}, {}, None)] == [1, 1, 1, 1, 2, 0, 1, 1, 1, 3, 3]
 
 
 def test_many_query_passes(spark, monkeypatch):
