@@ -30,8 +30,8 @@ LEVELS = 12
 LEAST_DF = 2
 LEAST_SHARE = 0.0005
 MOST_SHARE = 0.1
-#: Documents whose ids lie this close are neighbours in one task.
-BUCKET = 2048
+#: Documents whose ids agree but for so many bits are neighbours in one task.
+BUCKET_BITS = 11
 
 
 def terms(text: Column | str) -> Column:
@@ -73,7 +73,7 @@ def print_of(banded: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, deeper)["out"]
 
     ladder = lambda own: F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda k: family(own, k))
-    return let(F.array_sort(banded), lambda own: F.struct(F.when(F.size(own) > 0, short(own)).alias("whole"), ladder(own).alias("ladder")))
+    return let(F.sort_array(banded), lambda own: F.struct(F.when(F.size(own) > 0, short(own)).alias("whole"), ladder(own).alias("ladder")))
 
 
 def as_text(print_: Column) -> Column:
@@ -112,12 +112,9 @@ def prints(rows: DataFrame, key: list[str], kinds: list[str], band_: DataFrame)
     # one row of each key carries the other columns
     each = each.select(*key, F.when(F.coalesce("i", F.lit(0)) == 0, F.col("other")).alias("other"), "x.bits", "x.h")
     each = each.join(F.broadcast(band_), "h", "left").where("banded or other is not null")
-    each = each.groupBy(*key).agg(F.first("other", ignorenulls=True).alias("other"), F.collect_list(F.when(F.col("banded"), F.struct("bits", "h"))).alias("all"))
-
-    def of(kind: int) -> Column:
-        return F.transform(F.filter("all", lambda x: x["bits"].bitwiseAND(F.lit(1 << kind).cast("byte")) != 0), lambda x: x["h"])
-
-    return each.select(*key, *(F.col("other")[c].alias(c) for c in other), *(print_of(of(i)).alias(k) for i, k in enumerate(kinds)))
+    own = [F.collect_list(F.when(F.col("banded") & (F.col("bits").bitwiseAND(F.lit(1 << i).cast("byte")) != 0), F.col("h"))).alias(k) for i, k in enumerate(kinds)]
+    each = each.groupBy(*key).agg(F.first("other", ignorenulls=True).alias("other"), *own)
+    return each.select(*key, *(F.col("other")[c].alias(c) for c in other), *(print_of(F.col(k)).alias(k) for k in kinds))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -127,7 +124,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     buckets are a row for each bucket.
     """
     # rows without an id come last, dealt by their texts
-    bucket = F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62)) + F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
+    bucket = F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(-(1 << 62)) + F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc(), F.col("text").desc())
     rows = docs.select(bucket.alias("bucket"), "doc_id", "text")
     rows = rows.select("*", F.row_number().over(w).alias("at"), F.lead(F.struct("text")).over(w).alias("ahead"))
