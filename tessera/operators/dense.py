@@ -33,8 +33,9 @@ def delete(table: DataFrame, doc_id: Any) -> DataFrame:
 
 
 def best(hits: DataFrame, k: int, order: list[Column] | None = None) -> DataFrame:
-    """The first ``k`` of each query, with `rank` from 1; ties go by id."""
-    order = order or [F.round("score", 9).desc(), F.col("chunk_id")]
+    """The first ``k`` of each query, with `rank` from 1; ties (scores equal to nine places) go by id."""
+    # rint stays with doubles, where round would make a decimal of every score
+    order = order or [F.rint(F.col("score") * 1e9).desc(), F.col("chunk_id")]
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 

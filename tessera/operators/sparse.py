@@ -77,7 +77,8 @@ def stats_of(tokens: DataFrame) -> DataFrame:
 def vocab_of(postings: DataFrame, n: int) -> DataFrame:
     df = F.col("df")
     idf = F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5) + 1))
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf)
+    # counting tf, which is never null, keeps the plan of the postings as it is elsewhere, so that Spark makes them once
+    return postings.groupBy("term").agg(F.count("tf").alias("df")).withColumn("idf", idf)
 
 
 def build(chunks: DataFrame, params: BM25 = BM25()) -> Index:
