@@ -4,8 +4,8 @@ Patterns find assignments, access keys and long hex strings. The method adds
 candidate strings (runs of token characters of 20 and more) in which some window
 of 20 characters has a Shannon entropy, for the character class of the string (hex,
 alphanumeric, base64), over that class's threshold. Entropy slides along by the counts
-that change: one character comes, one goes. Candidates on the allow-list (digests of
-known shape, identifiers, words) and such that lie as a whole within one pattern's span are
+that change: one character comes, one goes. Candidates on the allow-list (words, numbers, hyphenated
+names, paths, UUIDs) and such that lie as a whole within one pattern's span are
 suppressed; one that only overlaps a span is reported whole. Spans of patterns always stay.
 
 Null and empty texts have no spans. Rows that repeat stay. Offsets are code points, the
