@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontamination, fingerprints, line_dedup, minhash_dedup, quality, secret_scans, substring_dedup, token_counts, url_filters
+from tessera.llm import alignment, bpe, decontamination, fingerprints, line_dedup, minhash_dedup, quality, secret_scans, substring_dedup, token_counts, url_filters
 from tessera.llm.tables import read, shared_folder
 
-#: A tokenizer file that every machine has. `bpe` refuses files that split text otherwise.
+#: Tokenizer files that every machine has. `bpe` and `alignment` refuse files that split text otherwise.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -75,8 +77,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, with_groups=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_document_fingerprints, op3_substring_dedup, op4_secret_scans, op5_url_filters, op6_bpe, op7_token_counts, op8_quality_classifier, op9_decontamination, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_document_fingerprints, op3_substring_dedup, op4_secret_scans, op5_url_filters, op6_bpe, op7_token_counts, op8_quality_classifier, op9_decontamination, op10_minhash_dedup, op11_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
