@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, bpe, decontamination, fingerprints, line_dedup, minhash_dedup, quality, secret_scans, substring_dedup, token_counts, url_filters
+from tessera.llm import alignment, bpe, decontamination, fingerprints, language, line_dedup, minhash_dedup, quality, ranked_search, secret_scans, substring_dedup, token_counts, url_filters
 from tessera.llm.tables import read, shared_folder
 
 #: Tokenizer files that every machine has. `bpe` and `alignment` refuse files that split text otherwise.
@@ -81,12 +81,21 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(read(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, with_groups=False)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.predicted(docs, language.trained(docs)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_document_fingerprints, op3_substring_dedup, op4_secret_scans, op5_url_filters, op6_bpe, op7_token_counts, op8_quality_classifier, op9_decontamination, op10_minhash_dedup, op11_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_document_fingerprints, op3_substring_dedup, op4_secret_scans, op5_url_filters, op6_bpe, op7_token_counts, op8_quality_classifier, op9_decontamination, op10_minhash_dedup, op11_tokenizer_alignment, op12_ranked_search, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op7_token_counts": TOKEN_COUNTS}
+    return {"op1_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op7_token_counts": TOKEN_COUNTS, "op12_ranked_search": RANKED_SEARCH}
 
 
 LINE_DEDUP = """
@@ -143,3 +152,19 @@ f AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GR
 SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(CASE WHEN quality = 0 THEN revised ELSE n END)::BIGINT AS n_tokens
 FROM c LEFT JOIN f USING (doc_id) WHERE coalesce(toxic, 0) <> 1 GROUP BY source, lang, tokenizer
 """
+
+RANKED_SEARCH = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
