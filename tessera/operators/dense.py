@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.filters import matches
+from tessera.sources.shared import written
 
 METRICS = ("cosine", "dot_product", "euclidean")
 #: Queries of one matrix product.
@@ -53,6 +54,23 @@ def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return dot / np.where(norm == 0, 1e-10, norm)
 
 
+def nearest(metric: str, x: np.ndarray, q: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the best ``k`` rows of ``x`` for each of ``q``, ties by id; and each query's k-th score, or its last one."""
+    most = min(k, len(x))
+    scores = _scores(metric, x, q).T
+    places = np.rint(scores * 1e9)
+    least = np.partition(places, len(x) - most, axis=1)[:, len(x) - most]
+    query, row = np.nonzero(places >= least[:, None])
+    # only what ties with the k-th is more than k
+    by_id = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    order = np.lexsort((by_id[row], -places[query, row], query))
+    query, row = query[order], row[order]
+    begin = np.searchsorted(query, np.arange(len(q)))
+    keep = np.arange(len(query)) - begin[query] < most
+    query, row = query[keep], row[keep]
+    return query, row, scores[query, row], least / 1e9
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", filters: Mapping[str, Any] | None = None, threshold: float | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score, dense_score: the ``k`` nearest of ``vectors`` (chunk_id, embedding, ...) to each of
     ``queries`` (query_id, embedding).
@@ -65,12 +83,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "co
     asked = queries.where("embedding is not null").select("query_id", "embedding")
     kind, query_kind = rows.schema["chunk_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_kind}, chunk_id {kind}, score double"
-    out = None
-    for ids, matrix in _passes(asked):
+
+    def hits(ids: pa.Array, matrix: np.ndarray) -> DataFrame:
         # one copy a machine, for all blocks of the pass
         sent = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
-        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
             for batch in batches:
                 if not batch.num_rows:
@@ -78,23 +96,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "co
                 x = np.asarray(batch.column("embedding").flatten(), dtype=float).reshape(batch.num_rows, -1)
                 if x.shape[1] != matrix.shape[1]:
                     raise ValueError(f"vectors have {x.shape[1]} dimensions, queries {matrix.shape[1]}")
-                by_id = np.argsort(np.argsort(batch.column("chunk_id").to_numpy(zero_copy_only=False)))
-                most = min(k, len(x))
                 for at in range(0, len(ids), BLOCK):
-                    scores = _scores(metric, x, matrix[at : at + BLOCK]).T
-                    places = np.lexsort((np.broadcast_to(by_id, scores.shape), -np.round(scores, 9)), axis=1)[:, :most]
-                    value = np.take_along_axis(scores, places, axis=1).ravel()
+                    which, where, value, _ = nearest(metric, x, matrix[at : at + BLOCK], batch.column("chunk_id"), k)
                     keep = np.ones(len(value), bool) if threshold is None else value >= threshold
-                    which = np.repeat(np.arange(at, at + len(scores)), most)[keep]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), batch.column("chunk_id").take(pa.array(places.ravel()[keep])), pa.array(value[keep])], names=["query_id", "chunk_id", "score"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + which[keep])), batch.column("chunk_id").take(pa.array(where[keep])), pa.array(value[keep])], names=["query_id", "chunk_id", "score"])
 
-        found = rows.mapInArrow(near, schema)
-        out = found if out is None else out.unionByName(found)
+        return rows.mapInArrow(near, schema)
+
+    out = in_passes(asked, hits)
     if out is None:
         out = rows.sparkSession.createDataFrame([], schema)
     return best(out, k).withColumn("dense_score", F.col("score"))
 
 
+def in_passes(queries: DataFrame, run: Callable[[pa.Array, np.ndarray], DataFrame]) -> DataFrame | None:
+    """The results of all passes. Of several, each one's is written before the next one's queries are fetched, so that the driver holds two passes at most; None without queries."""
+    passes = _passes(queries)
+    first = next(passes, None)
+    if first is None:
+        return None
+    second = next(passes, None)
+    if second is None:
+        return run(*first)
+    out, first = written(run(*first)), None
+    while second is not None:
+        out = out.unionByName(written(run(*second)))
+        second = next(passes, None)
+    return out
+
+
 def _passes(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(ids, matrix) of as many queries as MOST_NUMBERS allows. The rows come one partition at a time."""
     kind = to_arrow_type(queries.schema["query_id"].dataType)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import metrics
+from tessera.operators import patterns
 
 KS = (1, 3, 5, 10)
 
@@ -21,21 +22,26 @@ def ground_truth(samples: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     named = samples.select("query_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
     names = samples.select("query_id", F.transform(F.coalesce("relevant_keywords", F.array().cast("array<string>")), F.lower).alias("keywords"), F.explode("relevant_doc_names").alias("name"))
+    names = names.withColumn("name", F.lower("name"))
     place = lambda c: F.lower(F.coalesce(c, F.lit(""))) if c in chunks.columns else F.lit("")
     text = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), place("filename").alias("f"), place("source").alias("s"), F.lower("content").alias("content"))
     # names meet the files, not the chunks; these come by equality
-    name = F.lower("name")
-    files = text.select("f", "s").distinct().join(names.select("name").distinct(), F.contains("f", name) | F.contains("s", name))
-    fits = (F.size("keywords") == 0) | F.exists("keywords", lambda k: F.contains(F.col("content"), k))
-    found = text.join(files.join(names, "name"), ["f", "s"]).where(fits)
-    return named.unionByName(found.select("query_id", "chunk_id")).distinct()
+    files = text.select("f", "s").distinct().select("f", "s", F.explode(F.array("f", "s")).alias("t"))
+    files = patterns.contained(files, ["f", "s"], "t", names.select(F.col("name").alias("pattern"))).distinct()
+    meant = files.join(names.withColumnRenamed("name", "pattern"), "pattern").select("f", "s", "query_id", "keywords")
+    free = text.join(meant.where("size(keywords) = 0"), ["f", "s"]).select("query_id", "chunk_id")
+    words = meant.select("f", "s", "query_id", F.explode("keywords").alias("pattern")).where("pattern is not null").distinct()
+    scanned = text.join(words.select("f", "s").distinct(), ["f", "s"], "left_semi")
+    held = patterns.contained(scanned, ["chunk_id", "f", "s"], "content", names.select(F.explode("keywords").alias("pattern")))
+    fits = held.join(words, ["f", "s", "pattern"]).select("query_id", "chunk_id")
+    return named.unionByName(free).unionByName(fits).distinct()
 
 
 def containing(samples: DataFrame, chunks: DataFrame, words: int = 3) -> DataFrame:
     """(query_id, chunk_id): the chunks whose content has a sample's `text`, letter by letter.
 
     A text's inner words stand whole in whatever contains it, so a run of ``words`` of them, the longest one, leads to the few
-    chunks that are then searched. Texts with too few inner words, if there are any, are looked for in every chunk.
+    chunks that are then searched. Texts with too few inner words, if there are any, are looked for in every chunk, all at once.
     """
     split = lambda c: F.split(c, r"\s+")
     runs = lambda w, begin, end: F.transform(F.sequence(begin, end), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
@@ -50,7 +56,8 @@ def containing(samples: DataFrame, chunks: DataFrame, words: int = 3) -> DataFra
     found = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").where(F.contains("content", "text"))
     short = asked.where(F.size("w") < words + 2)
     if not short.isEmpty():
-        found = found.select("query_id", "chunk_id").unionByName(short.join(chunks, F.contains("content", "text")).select("query_id", "chunk_id"))
+        held = patterns.contained(chunks.select("chunk_id", "content"), ["chunk_id"], "content", short.select(F.col("text").alias("pattern")))
+        found = found.select("query_id", "chunk_id").unionByName(held.join(short.select("query_id", F.col("text").alias("pattern")), "pattern").select("query_id", "chunk_id"))
     return found.select("query_id", "chunk_id").distinct()
 
 

@@ -1,4 +1,11 @@
-"""BM25 over an inverted index of ordinary tables."""
+"""BM25 over an inverted index of ordinary tables.
+
+Two kinds of index are searched. One made for a search (`build`) keeps the terms of every chunk, written once; statistics,
+vocabulary and scores are made from these. One that is kept (`Blocks`, by the index's manager) has its postings in blocks: a row holds a
+term's postings in one block of chunks of like length, with the largest count and the shortest length among them. These bound what any of the
+block's chunks can score, so a search first reads the bounds alone, and then the postings of those blocks that
+may hold one of the best: block-max pruning, exact to the last hit.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +13,13 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.filters import matches
 from tessera.functions.text import terms
 from tessera.operators.dense import best
+from tessera.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -23,6 +31,14 @@ class BM25:
 
 #: (query, term) rows that are sent to all executors at most: a few MB.
 MOST_ASKED = 100_000
+#: Chunks of one block of postings, about.
+BLOCK = 64
+#: Folders that terms are dealt to by hash, so that a search reads those of its terms only.
+BUCKETS = 32
+#: (query, block) rows that are sent to all executors at most: some ten MB.
+MOST_BLOCKS = 500_000
+#: Blocks that are scored first for each query, those with the highest bounds.
+LEAD = 4
 
 
 @dataclass
@@ -50,18 +66,47 @@ class Index:
         return self.occurrences.sparkSession.createDataFrame([(self.n, self.avgdl)], "n long, avgdl double")
 
 
+@dataclass
+class Blocks:
+    """A kept index: ``rows`` as `blocked` makes them, with the ``seq`` of their segment; ``frequencies`` (bucket, term, df), signed differences
+    of which a term may have several; ``gone`` (doc_id, gone), None if there are none: chunks of such a document count from segment ``gone`` on."""
+
+    rows: DataFrame
+    frequencies: DataFrame
+    gone: DataFrame | None
+    n: int
+    avgdl: float
+    params: BM25
+
+    @property
+    def vocab(self) -> DataFrame:
+        """(term, df, idf), from the differences: no posting is read."""
+        df = self.frequencies.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        return df.withColumn("idf", idf(self.n))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, doc_len, tf) of the chunks that are not gone."""
+        return alive(self.rows.select("seq", "term", F.inline("postings")), self.gone).select("term", "chunk_id", "doc_len", "tf")
+
+    @property
+    def corpus_stats(self) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame([(self.n, self.avgdl)], "n long, avgdl double")
+
+
 def lengths(chunks: DataFrame, stopwords: Iterable[str] | None = None) -> DataFrame:
     """(chunk_id, tokens, doc_len) of chunks (chunk_id, content)."""
     return chunks.select("chunk_id", F.coalesce(terms("content", stopwords), F.array().cast("array<string>")).alias("tokens")).withColumn("doc_len", F.size("tokens"))
 
 
 def occurrences_of(tokens: DataFrame) -> DataFrame:
-    """A row for each term of each chunk; nothing is shuffled."""
-    return tokens.select(F.explode("tokens").alias("term"), "chunk_id", "doc_len", F.lit(1).cast("long").alias("tf"))
+    """A row for each term of each chunk; nothing is shuffled. Give it rows that are written: a plan would make the terms for the length, and again for the rows."""
+    more = [c for c in tokens.columns if c not in ("tokens", "chunk_id", "doc_len")]
+    return tokens.select(F.explode("tokens").alias("term"), "chunk_id", "doc_len", F.lit(1).cast("long").alias("tf"), *more)
 
 
 def summed(occurrences: DataFrame) -> DataFrame:
-    return occurrences.groupBy("term", "chunk_id", "doc_len").agg(F.sum("tf").alias("tf"))
+    return occurrences.groupBy("term", "chunk_id", "doc_len", *(c for c in occurrences.columns if c not in ("term", "chunk_id", "doc_len", "tf"))).agg(F.sum("tf").alias("tf"))
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
@@ -74,35 +119,122 @@ def stats_of(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum("doc_len"), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
 
 
+def idf(n: int, df: str = "df") -> Column:
+    return F.greatest(F.lit(1e-6), F.log((n - F.col(df) + 0.5) / (F.col(df) + 0.5) + 1))
+
+
 def vocab_of(postings: DataFrame, n: int) -> DataFrame:
-    df = F.col("df")
-    idf = F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5) + 1))
     # counting tf, which is never null, keeps the plan of the postings as it is elsewhere, so that Spark makes them once
-    return postings.groupBy("term").agg(F.count("tf").alias("df")).withColumn("idf", idf)
+    return postings.groupBy("term").agg(F.count("tf").alias("df")).withColumn("idf", idf(n))
 
 
 def build(chunks: DataFrame, params: BM25 = BM25()) -> Index:
-    """An index of chunks (chunk_id, content): one action for the statistics; the terms are counted where they are asked for."""
-    tokens = lengths(chunks, params.stopwords)
+    """An index of chunks (chunk_id, content): their terms, written once; these are counted where they are asked for."""
+    tokens = written(lengths(chunks, params.stopwords))
     stats = stats_of(tokens).first()
     return Index(occurrences_of(tokens), stats.n, stats.avgdl, params)
 
 
-def search(index: Index, queries: DataFrame, k: int = 5, chunks: DataFrame | None = None, filters: Mapping[str, Any] | None = None) -> DataFrame:
+def bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def blocked(postings: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """bucket, term, block, df, most_tf, least_len, postings: postings (term, chunk_id, doc_id, doc_len, tf) by term and block, sorted by term.
+
+    A block has about BLOCK chunks whose lengths are alike within a factor of the square root of two. ``chunks`` (chunk_id, doc_len) are those of
+    the postings, where they are at hand.
+    """
+    kind = F.floor(2 * F.log2(F.col("doc_len"))).cast("long")
+    # a bounded number of kinds: two for each doubling of a length
+    chunks = postings.select("chunk_id", "doc_len").distinct() if chunks is None else chunks.where("doc_len > 0")
+    sizes = {r.kind: r.n for r in chunks.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, -(-n // BLOCK)))) if sizes else F.lit(None).cast("map<bigint,int>")
+    block = F.shiftleft(kind, 40) + F.pmod(F.xxhash64("chunk_id"), F.try_element_at(parts, kind))
+    rows = postings.withColumn("block", block).groupBy(bucket().alias("bucket"), "term", "block").agg(
+        F.count(F.lit(1)).alias("df"), F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_len"), F.collect_list(F.struct("chunk_id", "doc_id", "doc_len", "tf")).alias("postings")
+    )
+    return rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+
+
+def alive(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """``rows`` (seq, doc_id, ...) of segments without those whose document was taken out or replaced by a later one."""
+    if gone is None:
+        return rows
+    return rows.join(gone, "doc_id", "left").where("gone is null or seq >= gone").select(*rows.columns)
+
+
+def _asked(queries: DataFrame, params: BM25) -> DataFrame:
+    return queries.select("query_id", F.explode(terms("text", params.stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _share(p: BM25, avgdl: float, tf: str, doc_len: str) -> Column:
+    """What a term's count gives, without its weight."""
+    norm = F.lit(1 - p.b) + F.lit(p.b) * F.col(doc_len) / F.lit(avgdl or 1.0)
+    return F.col(tf) * (p.k1 + 1) / (F.col(tf) + p.k1 * norm)
+
+
+def search(index: Index | Blocks, queries: DataFrame, k: int = 5, chunks: DataFrame | None = None, filters: Mapping[str, Any] | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score, bm25_score: the best ``k`` chunks for each of ``queries`` (query_id, text).
 
     A term that a query repeats counts as often. ``filters`` hold for ``chunks`` (chunk_id and metadata) and change no
     statistics. Terms that no query has are left out before anything is counted or shuffled.
     """
     p = index.params
-    asked = queries.select("query_id", F.explode(terms("text", p.stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    kept = chunks.where(matches(chunks, filters)).select("chunk_id") if filters else None
+    asked = _asked(queries, p)
+    if isinstance(index, Blocks):
+        return Pruned(index, asked, k, kept).hits()
     few = asked.count() <= MOST_ASKED  # else Spark shuffles
     side = F.broadcast if few else lambda df: df
     found = summed(index.occurrences.join(side(asked.select("term").distinct()), "term", "left_semi"))
     asked = side(asked.join(vocab_of(found, index.n).drop("df"), "term"))
-    norm = F.lit(1 - p.b) + F.lit(p.b) * F.col("doc_len") / F.lit(index.avgdl or 1.0)
-    part = F.col("times") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * norm)
-    if filters:
-        found = found.join(chunks.where(matches(chunks, filters)).select("chunk_id"), "chunk_id", "left_semi")
+    part = F.col("times") * F.col("idf") * _share(p, index.avgdl, "tf", "doc_len")
+    if kept is not None:
+        found = found.join(kept, "chunk_id", "left_semi")
     scored = found.join(asked, "term").select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     return best(scored, k).withColumn("bm25_score", F.col("score"))
+
+
+class Pruned:
+    """A search of a kept index. ``bounds`` has a row for each query and block: what a chunk of it scores at most, whether it is
+    among the query's first LEAD, and whether it needs to be read."""
+
+    def __init__(self, index: Blocks, asked: DataFrame, k: int, kept: DataFrame | None = None):
+        self.index, self.k, self.kept = index, k, kept
+        asked = written(asked.withColumn("bucket", bucket()))
+        self.few = asked.count() <= MOST_ASKED
+        self.side = F.broadcast if self.few else lambda df: df
+        # at most BUCKETS numbers: only these folders are read
+        buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]
+        words = self.side(asked.select("term").distinct())
+        df = index.frequencies.where(F.col("bucket").isin(buckets)).join(words, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        self.asked = written(asked.join(df.withColumn("idf", idf(index.n)), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")))
+        self.rows = index.rows.where(F.col("bucket").isin(buckets))
+        heads = self.rows.select("seq", "term", "block", "most_tf", "least_len").join(self.side(self.asked), "term")
+        most = F.sum(F.col("weight") * _share(index.params, index.avgdl, "most_tf", "least_len"))
+        bounds = heads.groupBy("query_id", "seq", "block").agg(most.alias("bound"))
+        first = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "seq", "block")
+        bounds = written(bounds.withColumn("lead", F.row_number().over(first) <= LEAD))
+        self.lead = written(self._scored(bounds.where("lead")))
+        # the k-th score so far; a query with fewer hits needs all blocks
+        goal = best(self.lead, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("goal"))
+        # scores are told apart to nine places
+        self.bounds = bounds.join(goal, "query_id", "left").withColumn("needed", F.col("lead") | F.col("goal").isNull() | (F.col("bound") >= F.col("goal") - 1e-8)).drop("goal")
+
+    def _scored(self, blocks: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) of all chunks of these blocks."""
+        wanted = blocks.select("query_id", "seq", "block")
+        # postings are shuffled only if it takes too many rows to say which are wanted
+        wanted = F.broadcast(wanted) if wanted.count() <= MOST_BLOCKS else wanted
+        pairs = self.rows.join(self.side(self.asked), "term").join(wanted, ["query_id", "seq", "block"])
+        rows = pairs.select("query_id", "seq", "weight", F.inline("postings"))
+        rows = alive(rows, self.index.gone)
+        if self.kept is not None:
+            rows = rows.join(self.kept, "chunk_id", "left_semi")
+        part = F.col("weight") * _share(self.index.params, self.index.avgdl, "tf", "doc_len")
+        return rows.select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+
+    def hits(self) -> DataFrame:
+        more = self._scored(self.bounds.where("needed and not lead"))
+        return best(self.lead.unionByName(more), self.k).withColumn("bm25_score", F.col("score"))

@@ -47,15 +47,12 @@ class Retrieval:
 
     def _dense(self, queries: DataFrame, k: int, filters: Mapping[str, Any] | None) -> DataFrame:
         m = self.manager
-        vectors = m.table("vectors")
-        if filters:
-            chunks = m.table("chunks").drop("doc_id")
-            vectors = vectors.join(chunks, "chunk_id")
+        vectors = m.table("vectors", filters)
         asked = queries.select("query_id", m.embeddings.queries("text").alias("embedding"))
         return dense.search(vectors, asked, k, m.metric, filters)
 
     def _sparse(self, queries: DataFrame, k: int, filters: Mapping[str, Any] | None) -> DataFrame:
-        return sparse.search(self.manager.index(), queries, k, self.manager.table("chunks"), filters)
+        return sparse.search(self.manager.index(), queries, k, self.manager.table("vectors", filters), filters)
 
     def retrieve(self, queries: DataFrame, k: int = 5, mode: str = "hybrid", filters: Mapping[str, Any] | None = None) -> DataFrame:
         if mode not in MODES:

@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import metrics, text
-from tessera.operators import chunking, dense, evaluate, fusion, generate, prompt, rerank, sparse
+from tessera.operators import chunking, clusters, dense, evaluate, fusion, generate, prompt, rerank, sparse
 from tessera.operators.embeddings import HashingEmbeddings
 from tessera.operators.index import Manager, fresh
 from tessera.sources.loaders import from_table
+from tessera.sources.shared import scratch
 
 #: Queries of a search over vectors: every row whose id is divisible by this.
 EVERY = 20
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one of fewer splits than there are cores is dealt out to all of them."""
-    table, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+#: A table is dealt out to all cores, but to no more parts than have so many bytes each.
+PART_BYTES = 256 << 10
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share; a local session may have none set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{where or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{uuid.uuid4().hex}"
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; one of fewer splits than there are cores, and bytes for more, is dealt out. Large tables, and tiny ones, are not shuffled."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    parts = min(spark.sparkContext.defaultParallelism, size // PART_BYTES)
+    return table.repartition(parts) if table.rdd.getNumPartitions() < parts else table
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +120,24 @@ def dense_filtered(spark, sf_dir):
     return _shown(_dense(spark, sf_dir, filters={"label": 3}))
 
 
+def _pruned(spark, sf_dir, metric):
+    vectors, asked = _vectors(spark, sf_dir)
+    return _shown(clusters.Clusters.of(vectors, metric).search(asked, 10))
+
+
+def dense_pruned_cosine(spark, sf_dir):
+    """The same hits as dense_cosine, from clusters whose bounds reach them."""
+    return _pruned(spark, sf_dir, "cosine")
+
+
+def dense_pruned_dot(spark, sf_dir):
+    return _pruned(spark, sf_dir, "dot_product")
+
+
+def dense_pruned_euclidean(spark, sf_dir):
+    return _pruned(spark, sf_dir, "euclidean")
+
+
 def hashing_embeddings(spark, sf_dir):
     vector = HashingEmbeddings(64).documents("text")
     return _read(spark, sf_dir, "documents").select("doc_id", F.transform(vector, lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
@@ -213,10 +228,10 @@ def incremental_upsert(spark, sf_dir):
     return fresh(docs, known).select("doc_id", "doc_hash")
 
 
-def _manager(spark: SparkSession) -> Manager:
-    """An index of whole documents."""
-    chunk = lambda docs: docs.select("doc_id", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(0).alias("chunk_index"))
-    return Manager(spark, _scratch(spark), HashingEmbeddings(64), chunk)
+def _manager(spark: SparkSession, no_blanks: bool = False) -> Manager:
+    """An index of whole documents, or of those that have any text."""
+    chunk = lambda docs: docs.where("trim(text, ' \n') <> ''" if no_blanks else "true").select("doc_id", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(0).alias("chunk_index"))
+    return Manager(spark, scratch(spark), HashingEmbeddings(64), chunk)
 
 
 def index_upsert(spark, sf_dir):
@@ -229,6 +244,31 @@ def index_upsert(spark, sf_dir):
     return manager.table("registry").select("doc_id", "doc_hash", F.col("chunk_count").cast("long").alias("chunk_count"), "terms")
 
 
+def index_search(spark, sf_dir):
+    """Keyword search of an index that held former versions of the labelled documents, and was merged: by blocks of postings with bounds."""
+    docs, manager = _documents(spark, sf_dir), _manager(spark)
+    labelled = docs.join(_read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    manager.index_documents(from_table(labelled.withColumn("text", F.reverse("text"))))
+    manager.index_documents(docs)
+    manager.fanout = 2
+    manager.merge()
+    return _shown(sparse.search(manager.index(), _items(spark, sf_dir), 10))
+
+
+def index_vocab(spark, sf_dir):
+    """The vocabulary, by signed differences, of an index from which the toxic documents were deleted."""
+    return _six(_without_toxic(spark, sf_dir).index().vocab, "idf")
+
+
+def index_blanked(spark, sf_dir):
+    """All documents come, then the labelled ones again with a blank text: these go."""
+    docs, manager = _documents(spark, sf_dir), _manager(spark, True)
+    manager.index_documents(docs)
+    labelled = docs.join(_read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    manager.index_documents(from_table(labelled.withColumn("text", F.lit(" \n"))))
+    return manager.table("registry").select("doc_id", "doc_hash", "terms")
+
+
 def _without_toxic(spark, sf_dir):
     manager = _manager(spark)
     manager.index_documents(_documents(spark, sf_dir))
@@ -296,8 +336,8 @@ def index_stats(spark, sf_dir):
 
 NAMES = (
     tokenize_stats, content_hashes, char_chunks, recursive_chunks, postings, vocab_idf, corpus_stats, bm25_topk, bm25_filtered, hashing_embeddings,
-    dense_cosine, dense_dot, dense_euclidean, dense_threshold, dense_filtered, rrf_fusion, linear_fusion, rerank_passthrough, rerank_scored, ground_truth,
-    ground_truth_names, index_upsert, index_delete, index_compacted, eval_per_query, eval_summary, benchmark_4way, incremental_upsert, delete_documents, format_context, build_prompt, mock_answers, citation_accuracy, faithfulness, index_stats,
+    dense_cosine, dense_dot, dense_euclidean, dense_threshold, dense_filtered, dense_pruned_cosine, dense_pruned_dot, dense_pruned_euclidean, rrf_fusion, linear_fusion, rerank_passthrough, rerank_scored, ground_truth,
+    ground_truth_names, index_upsert, index_delete, index_compacted, index_search, index_vocab, index_blanked, eval_per_query, eval_summary, benchmark_4way, incremental_upsert, delete_documents, format_context, build_prompt, mock_answers, citation_accuracy, faithfulness, index_stats,
 )
 
 
@@ -455,6 +495,9 @@ def oracle_sql() -> dict[str, str]:
         "dense_euclidean": f"WITH {_dense_sql('1 / (1 + list_distance(q.e, v.e))')} {HITS} FROM dense",
         "dense_threshold": f"WITH {_dense_sql(COSINE, where=f'{COSINE} >= 0.3')} {HITS} FROM dense",
         "dense_filtered": f"WITH {_dense_sql(COSINE, where='v.label = 3')} {HITS} FROM dense",
+        "dense_pruned_cosine": f"WITH {_dense_sql(COSINE)} {HITS} FROM dense",
+        "dense_pruned_dot": f"WITH {_dense_sql('list_inner_product(q.e, v.e)')} {HITS} FROM dense",
+        "dense_pruned_euclidean": f"WITH {_dense_sql('1 / (1 + list_distance(q.e, v.e))')} {HITS} FROM dense",
         "rrf_fusion": _fused_sql(*RRF),
         "linear_fusion": _fused_sql(f"0.5 * {_scaled('d')} + 0.5 * {_scaled('b')}", "", "NULL::DOUBLE"),
         "rerank_passthrough": f"WITH {_bm25_sql(5)} {HITS}, round(score, 6) AS rerank_score FROM hits",
@@ -468,6 +511,9 @@ def oracle_sql() -> dict[str, str]:
         "index_upsert": f"WITH {TOKENS} SELECT chunk_id AS doc_id, sha256(source || ':' || content) AS doc_hash, 1::BIGINT AS chunk_count, len(terms)::BIGINT AS terms FROM tok",
         "index_delete": f"WITH {_without_toxic_sql(_bm25_sql(10))} {HITS} FROM hits",
         "index_compacted": f"WITH {_without_toxic_sql(INDEX)} SELECT n AS total_documents, n AS total_chunks, (SELECT count(*) FROM vocab) AS bm25_vocabulary_size, round(avgdl, 2) AS bm25_avg_doc_len FROM stats",
+        "index_search": f"WITH {_bm25_sql(10)} {HITS} FROM hits",
+        "index_vocab": f"WITH {_without_toxic_sql(INDEX)} SELECT term, df, round(idf, 6) AS idf FROM vocab",
+        "index_blanked": f"WITH {TOKENS} SELECT chunk_id AS doc_id, sha256(source || ':' || content) AS doc_hash, len(terms)::BIGINT AS terms FROM tok WHERE trim(content, E' \\n') <> '' AND chunk_id NOT IN (SELECT doc_id FROM labels)",
         "incremental_upsert": "SELECT doc_id, sha256(source || ':' || text) AS doc_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "delete_documents": f"WITH {TOKENS} SELECT lang, count(*) AS n, round(avg(len(terms)), 6) AS avgdl FROM tok WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY lang",
         "format_context": f"WITH {CONTEXT} SELECT query_id, context, n_sources, cited FROM contexts",
