@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tessera.functions.filters import matches
 from tessera.operators import dense
@@ -79,8 +80,7 @@ class Clusters:
         sample = [r.embedding for r in rows.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).collect()]
         if len({len(x) for x in sample}) > 1:
             raise ValueError("vectors have different dimensions")
-        x = space(np.array(sample, dtype=float).reshape(len(sample), -1))
-        centres = fitted(x, max(1, min(most, round(n**0.5)))) if n else np.zeros((0, 0))
+        centres = fitted(space(np.array(sample, dtype=float)), max(1, min(most, round(n**0.5)))) if n else np.zeros((0, 0))
         sent = spark.sparkContext.broadcast(centres)
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ class Clusters:
         for name in ("cluster", "apart"):
             if name in schema.names:
                 raise ValueError(f"the vectors have a column {name}")
-        kept = rows.mapInArrow(dealt, schema.add("cluster", "int").add("apart", "double")) if n else rows.withColumns({"cluster": F.lit(0), "apart": F.lit(0.0)})
+        kept = rows.mapInArrow(dealt, StructType([*schema.fields, StructField("cluster", IntegerType()), StructField("apart", DoubleType())])) if n else rows.withColumns({"cluster": F.lit(0), "apart": F.lit(0.0)})
         # a cluster of very many vectors is dealt out by their ids
         kept = written(kept.repartitionByRange("cluster", F.xxhash64("chunk_id")).sortWithinPartitions("cluster"), path)
         radius, size = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)

@@ -34,7 +34,7 @@ MOST_ASKED = 100_000
 #: Chunks of one block of postings, about.
 BLOCK = 64
 #: Folders that terms are dealt to by hash, so that a search reads those of its terms only.
-BUCKETS = 32
+BUCKETS = 16
 #: (query, block) rows that are sent to all executors at most: some ten MB.
 MOST_BLOCKS = 500_000
 #: Blocks that are scored first for each query, those with the highest bounds.

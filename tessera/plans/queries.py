@@ -25,7 +25,7 @@ PART_BYTES = 256 << 10
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; one of fewer splits than there are cores, and bytes for more, is dealt out. Large tables, and tiny ones, are not shuffled."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = min(spark.sparkContext.defaultParallelism, size // PART_BYTES)
     return table.repartition(parts) if table.rdd.getNumPartitions() < parts else table
 
@@ -230,7 +230,7 @@ def incremental_upsert(spark, sf_dir):
 
 def _manager(spark: SparkSession, no_blanks: bool = False) -> Manager:
     """An index of whole documents, or of those that have any text."""
-    chunk = lambda docs: docs.where("trim(text, ' \n') <> ''" if no_blanks else "true").select("doc_id", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(0).alias("chunk_index"))
+    chunk = lambda docs: docs.where("btrim(text, ' \n') <> ''" if no_blanks else "true").select("doc_id", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(0).alias("chunk_index"))
     return Manager(spark, scratch(spark), HashingEmbeddings(64), chunk)
 
 

@@ -75,7 +75,7 @@ def test_only_folders_of_the_terms_are_read(spark, tmp_path):
     want = key(sparse.search(m.index(), queries, 3))
     folders = {r.b for r in spark.createDataFrame([("w1",), ("w2",)], "term string").select(sparse.bucket().alias("b")).collect()}
     gone = [p for name in ("postings", "frequencies") for p in (tmp_path / "i" / name).glob("seq=*/run=*/bucket=*") if int(p.name[7:]) not in folders]
-    assert len(gone) > 40
+    assert len(gone) > 20
     for p in gone:
         shutil.rmtree(p)
     assert want and key(sparse.search(m.index(), queries, 3)) == want
@@ -83,7 +83,7 @@ def test_only_folders_of_the_terms_are_read(spark, tmp_path):
 
 def test_vocabulary_by_differences(spark, tmp_path):
     m, state = manager(spark, tmp_path / "i", fanout=3), {}
-    for step in range(6):
+    for step in range(4):
         rows = [(rng.randrange(40), text(rng.choice([0, 3, 20])), "s") for _ in range(12)]
         rows = list({r[0]: r for r in rows}.values())
         m.index_documents(documents(spark, rows))
@@ -128,11 +128,11 @@ def test_one_text_of_an_id_that_a_batch_repeats(spark, tmp_path):
 def test_merges_keep_few_segments(spark, tmp_path):
     m = manager(spark, tmp_path / "i", fanout=3)
     reader, seen, most = None, {}, 0
-    for step in range(14):
+    for step in range(9):
         rows = [(step * 2 + k, text(6, step * 2 + k), f"s{step}") for k in range(2)]
         m.index_documents(documents(spark, rows))
         seen |= {r[0]: r for r in rows}
-        if step % 5 == 4:
+        if step == 4:
             m.delete_document(step)
             seen.pop(step)
         held = m.table("registry")
@@ -140,7 +140,7 @@ def test_merges_keep_few_segments(spark, tmp_path):
             reader = held
             before = len(seen)
         most = max(most, len(m.segments()))
-    assert most <= 8 and len(m.segments()) < 8
+    assert most <= 5 and len(m.segments()) <= 4
     # a reader of the segments before a merge still sees them
     assert reader.count() == before
     assert sorted(r.doc_id for r in m.table("registry").collect()) == sorted(seen)
