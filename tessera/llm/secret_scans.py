@@ -79,10 +79,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    out = []
+    """Candidates of high entropy that no span of ``taken``, which is in order, contains: one sweep over both."""
+    out, at, furthest = [], 0, 0
     for m in CANDIDATE.finditer(text):
+        # of the spans that begin no later, that which ends last contains the candidate, or none does
+        while at < len(taken) and taken[at][0] <= m.start():
+            furthest = max(furthest, taken[at][1])
+            at += 1
         s = m[0]
-        if any(p.fullmatch(s) for p in ALLOWED) or any(a <= m.start() and m.end() <= b for a, b, _ in taken):
+        if m.end() <= furthest or any(p.fullmatch(s) for p in ALLOWED):
             continue
         least = next(bits for _, chars, bits in CLASSES if chars.fullmatch(s))
         if top_entropy(s) > least:

@@ -7,7 +7,9 @@ says which tables count and which batches are in them: each of its entries is th
 holds. An entry appears at once or not at all, and never replaces another, so a batch is
 committed once, however often it is sent and whoever else commits meanwhile, and a reader sees all of a
 batch or nothing. Totals are sums over the tables of the latest entry; `compact` folds these into one
-table with an entry of its own. What it replaced stays until the next one, for readers that are not done.
+table with an entry of its own, and so does every commit that finds MOST_TABLES of them. An entry names the tables and batches
+since then only: the ids of batches that were folded before are rows of tables beside, so that an entry's size does
+not grow with the number of batches. What a fold replaced stays until the next one, for readers that are not done.
 
 Null sources, languages and tokenizers are keys of their own. Null counts count as no
 tokens. A change with an unknown kind fails. Empty batches can be committed. Rows that
@@ -80,26 +82,34 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 def changes_between(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The changes that turn one set of counts (doc_id, KEY, n_tokens) into another."""
+    """The changes that turn one set of counts (doc_id, KEY, n_tokens) into another. Whether a row is there decides, not its count: a
+    count that was null, or becomes null, is revised."""
     key = ["doc_id", *KEY]
-    x = F.col
-    b, a = before.select(*key, x("n_tokens").alias("old_tokens")).alias("b"), after.select(*key, "n_tokens").alias("a")
+    x, there = F.col, F.lit(True).alias("there")
+    b, a = before.select(*key, x("n_tokens").alias("old_tokens"), there).alias("b"), after.select(*key, "n_tokens", there).alias("a")
     same = x("b.doc_id").eqNullSafe(x("a.doc_id"))
     for k in KEY:
         same = same & x(f"b.{k}").eqNullSafe(x(f"a.{k}"))
-    kind = F.when(x("b.old_tokens").isNull(), "insert").when(x("a.n_tokens").isNull(), "delete").otherwise("revise")
+    kind = F.when(x("b.there").isNull(), "insert").when(x("a.there").isNull(), "delete").otherwise("revise")
     both = b.join(a, same, "full").withColumn("kind", kind)
     cols = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY]
-    return both.select(*cols, "kind", F.coalesce("a.n_tokens", "b.old_tokens").alias("n_tokens"), "b.old_tokens")
+    n = F.when(x("a.there").isNull(), x("b.old_tokens")).otherwise(x("a.n_tokens"))
+    return both.select(*cols, "kind", n.alias("n_tokens"), "b.old_tokens")
+
+
+#: Tables that a log entry names, at most; the next commit folds them.
+MOST_TABLES = 64
 
 
 @dataclass(frozen=True)
 class State:
-    """A log entry: its number, the tables that count, the batches in them, tables that the last compaction replaced."""
+    """A log entry: its number, the tables that count and the batches that came with them since the last fold, the tables of the ids of
+    batches before that, and the tables that the last fold replaced."""
 
     version: int = 0
     tables: tuple[str, ...] = ()
     batches: tuple[str, ...] = ()
+    folded: tuple[str, ...] = ()
     replaced: tuple[str, ...] = ()
 
 
@@ -112,30 +122,39 @@ class Rollup:
     def state(self) -> State:
         """The latest log entry."""
         version, said = self.journal.latest()
-        return State(version, *(tuple(said[k]) for k in ("tables", "batches", "replaced"))) if said else State()
+        return State(version, *(tuple(said[k]) for k in ("tables", "batches", "folded", "replaced"))) if said else State()
 
     def _advance(self, to: State) -> bool:
-        return self.journal.advance(to.version, {"tables": to.tables, "batches": to.batches, "replaced": to.replaced})
+        return self.journal.advance(to.version, {"tables": to.tables, "batches": to.batches, "folded": to.folded, "replaced": to.replaced})
 
-    def _written(self, rows: DataFrame) -> str:
-        name = f"table-{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(f"{self.path}/{name}")
+    def _written(self, rows: DataFrame, kind: str = "table") -> str:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
         return name
 
     def _read(self, state: State) -> DataFrame:
         rows = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/{t}" for t in state.tables)) if state.tables else self.spark.createDataFrame([], DELTA)
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
+    def _folded(self, state: State) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(*(f"{self.path}/{t}" for t in state.folded)) if state.folded else self.spark.createDataFrame([], "batch string")
+
+    def _has(self, state: State, batch: str) -> bool:
+        return batch in state.batches or bool(state.folded) and not self._folded(state).where(F.col("batch") == batch).isEmpty()
+
     def batches(self) -> list[str]:
         """The ids of the committed batches."""
-        return sorted(self.state().batches)
+        now = self.state()
+        return sorted([*now.batches, *(r.batch for r in self._folded(now).collect())])
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of changes; False, and nothing done, if the batch is there already."""
         table = None
-        while batch not in (now := self.state()).batches:
+        while not self._has(now := self.state(), batch):
             table = table or self._written(signed(changes))
-            if self._advance(State(now.version + 1, (*now.tables, table), (*now.batches, batch), now.replaced)):
+            if self._advance(State(now.version + 1, (*now.tables, table), (*now.batches, batch), now.folded, now.replaced)):
+                if len(now.tables) >= MOST_TABLES:
+                    self.compact()
                 return True
         if table:  # another one was faster
             self.journal.delete(table)
@@ -146,16 +165,23 @@ class Rollup:
         return self._read(self.state())
 
     def compact(self) -> None:
-        """Folds the tables of all committed batches into one."""
-        folded = self.state()
-        table = self._written(self._read(folded))
+        """Folds the tables of all committed batches into one, and their ids into one beside it (or, once there are MOST_TABLES of these, all ids into one)."""
+        start = self.state()
+        table = self._written(self._read(start))
+        ids = self.spark.createDataFrame([(b,) for b in start.batches], "batch string")
+        whole = len(start.folded) >= MOST_TABLES
+        ids = self._written(ids.unionByName(self._folded(start)) if whole else ids, "ids")
+        folded = (ids,) if whole else (*start.folded, ids)
+        old = (*start.tables, *(start.folded if whole else ()))
         while True:
             now = self.state()
-            if not set(folded.tables) <= set(now.tables):  # folded by another one meanwhile
+            if not set(start.tables) <= set(now.tables) or now.folded != start.folded:  # folded by another one meanwhile
                 self.journal.delete(table)
+                self.journal.delete(ids)
                 return
-            more = tuple(t for t in now.tables if t not in folded.tables)
-            if self._advance(State(now.version + 1, (table, *more), now.batches, folded.tables)):
-                for old in now.replaced:
-                    self.journal.delete(old)
+            more = tuple(t for t in now.tables if t not in start.tables)
+            rest = tuple(b for b in now.batches if b not in start.batches)
+            if self._advance(State(now.version + 1, (table, *more), rest, folded, old)):
+                for name in now.replaced:
+                    self.journal.delete(name)
                 return

@@ -306,6 +306,20 @@ def test_secret_around_a_pattern(spark):
     assert got == {1: "entropy:4:64,hex:22:46", 2: "hex:4:28"}
 
 
+def test_many_spans_in_one_text():
+    """Containment is told in one sweep: work grows with the text, not with spans times candidates."""
+    import time
+
+    part = "key=Zx9Qw7Lp2Rt5Vb8Nm3Kd token=Zx9Qw7Lp2Rt5Vb8Nm3Kd4 0123456789abcdef01234567 "
+    text = part * 50_000
+    began = time.perf_counter()
+    base = secret_scans.base_spans(text)
+    more = secret_scans.entropy_spans(text, base)
+    assert time.perf_counter() - began < 20 and len(base) == 100_000
+    one = secret_scans.base_spans(part)
+    assert [s[1] - s[0] for s in more] == [s[1] - s[0] for s in secret_scans.entropy_spans(part, one)] * 50_000
+
+
 def test_entropy_slides():
     for _ in range(50):
         s = "".join(rng.choice("abcde0123") for _ in range(rng.randint(20, 60)))
@@ -409,6 +423,28 @@ def test_rollup(spark, tmp_path):
     assert [tuple(r) for r in token_counts.signed(token_counts.changes_between(before, after)).collect()] == [("s", "en", "v1", 0, -2)]
 
 
+def test_null_counts_are_revised(spark):
+    schema = "doc_id long, source string, lang string, tokenizer string, n_tokens long"
+    before = spark.createDataFrame([(1, "s", "en", "v", None), (2, "s", "en", "v", 5), (3, "s", None, "v", None), (4, "s", "en", "v", None)], schema)
+    after = spark.createDataFrame([(1, "s", "en", "v", 4), (2, "s", "en", "v", None), (5, "s", "en", "v", None), (4, "s", "en", "v", None)], schema)
+    changes = token_counts.changes_between(before, after)
+    assert sorted(r.kind for r in changes.collect()) == ["delete", "insert", "revise", "revise", "revise"]
+    got = {r.lang: (r.n_docs, r.n_tokens) for r in token_counts.signed(changes).collect()}
+    assert got == {"en": (1, -1), None: (-1, 0)}
+
+
+def test_log_entries_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_TABLES", 3)
+    rows = spark.createDataFrame([("s", "en", "v1", "insert", 10, None)], "source string, lang string, tokenizer string, kind string, n_tokens long, old_tokens long")
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    for k in range(16):
+        assert rollup.commit(f"b{k}", rows)
+        now = rollup.state()
+        assert max(map(len, (now.tables, now.batches, now.folded))) <= 4
+    assert not any(rollup.commit(f"b{k}", rows) for k in (0, 3, 7, 15)) and len(rollup.batches()) == 16
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "v1", 16, 160)]
+
+
 def test_racing_commits(spark, tmp_path, monkeypatch):
     """A batch that another writer commits between reading the log and writing to it counts once; so does one that comes in during compaction."""
     kind = "source string, lang string, tokenizer string, kind string, n_tokens long, old_tokens long"
