@@ -69,8 +69,10 @@ def main(argv: list[str] | None = None) -> None:
             args.mode = text
         elif command in ("/ingest", "/query", "/inspect", "/benchmark", "/stats"):
             run(command[1:], text)
+        elif command == "/clear":
+            print("\033[2J\033[H", end="")  # the terminal is blank, and goes on at its top
         elif command == "/help":
-            print("/ingest PATH, /query TEXT, /inspect TEXT, /benchmark FILE, /mode MODE, /stats, /exit; other text is a query")
+            print("/ingest PATH, /query TEXT, /inspect TEXT, /benchmark FILE, /mode MODE, /stats, /clear, /exit; other text is a query")
         elif line:
             run("query", line)
 

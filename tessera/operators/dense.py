@@ -54,21 +54,27 @@ def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return dot / np.where(norm == 0, 1e-10, norm)
 
 
-def nearest(metric: str, x: np.ndarray, q: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the best ``k`` rows of ``x`` for each of ``q``, ties by id; and each query's k-th score, or its last one."""
-    most = min(k, len(x))
-    scores = _scores(metric, x, q).T
+def top(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row) of the best ``k`` rows of each line of ``scores``, ties by id, the lines one after the other; and each line's k-th score, or its last one."""
+    n = scores.shape[1]
+    most = min(k, n)
     places = np.rint(scores * 1e9)
-    least = np.partition(places, len(x) - most, axis=1)[:, len(x) - most]
+    least = np.partition(places, n - most, axis=1)[:, n - most]
     query, row = np.nonzero(places >= least[:, None])
     # only what ties with the k-th is more than k
     by_id = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
     order = np.lexsort((by_id[row], -places[query, row], query))
     query, row = query[order], row[order]
-    begin = np.searchsorted(query, np.arange(len(q)))
+    begin = np.searchsorted(query, np.arange(len(scores)))
     keep = np.arange(len(query)) - begin[query] < most
-    query, row = query[keep], row[keep]
-    return query, row, scores[query, row], least / 1e9
+    return query[keep], row[keep], least / 1e9
+
+
+def nearest(metric: str, x: np.ndarray, q: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the best ``k`` rows of ``x`` for each of ``q``, and what `top` says of the k-th."""
+    scores = _scores(metric, x, q).T
+    query, row, least = top(scores, ids, k)
+    return query, row, scores[query, row], least
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", filters: Mapping[str, Any] | None = None, threshold: float | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """BM25 over an inverted index of ordinary tables.
 
 Two kinds of index are searched. One made for a search (`build`) keeps the terms of every chunk, written once; statistics,
-vocabulary and scores are made from these. One that is kept (`Blocks`, by the index's manager) has its postings in blocks: a row holds a
+vocabulary and scores are made from these: as the terms of a chunk are together, each Arrow batch of chunks is scored for itself, and only its best
+``k`` for each query are shuffled. One that is kept (`Blocks`, by the index's manager) has its postings in blocks: a row holds a
 term's postings in one block of chunks of like length, with the largest count and the shortest length among them. These bound what any of the
 block's chunks can score, so a search first reads the bounds alone, and then the postings of those blocks that
 may hold one of the best: block-max pruning, exact to the last hit.
@@ -9,16 +10,21 @@ may hold one of the best: block-max pruning, exact to the last hit.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.filters import matches
 from tessera.functions.text import terms
-from tessera.operators.dense import best
+from tessera.operators.dense import BLOCK as QUERIES
+from tessera.operators.dense import best, top
 from tessera.sources.shared import written
 
 
@@ -31,6 +37,8 @@ class BM25:
 
 #: (query, term) rows that are sent to all executors at most: a few MB.
 MOST_ASKED = 100_000
+#: Scores that a task holds at once.
+MOST_SCORES = 1 << 22
 #: Chunks of one block of postings, about.
 BLOCK = 64
 #: Folders that terms are dealt to by hash, so that a search reads those of its terms only.
@@ -43,13 +51,18 @@ LEAD = 4
 
 @dataclass
 class Index:
-    """occurrences (term, chunk_id, doc_len, tf), in which a term may have several rows for a chunk; the number of chunks, and their mean length."""
+    """tokens (chunk_id, tokens, doc_len), written; the number of chunks, and their mean length."""
 
-    occurrences: DataFrame
+    tokens: DataFrame
     n: int
     avgdl: float
     params: BM25
 
+    @property
+    def occurrences(self) -> DataFrame:
+        """(term, chunk_id, doc_len, tf), in which a term may have several rows for a chunk."""
+        return occurrences_of(self.tokens)
+
     @property
     def postings(self) -> DataFrame:
         """(term, chunk_id, doc_len, tf)."""
@@ -63,7 +76,7 @@ class Index:
     @property
     def corpus_stats(self) -> DataFrame:
         """(n, avgdl): one row."""
-        return self.occurrences.sparkSession.createDataFrame([(self.n, self.avgdl)], "n long, avgdl double")
+        return self.tokens.sparkSession.createDataFrame([(self.n, self.avgdl)], "n long, avgdl double")
 
 
 @dataclass
@@ -132,7 +145,7 @@ def build(chunks: DataFrame, params: BM25 = BM25()) -> Index:
     """An index of chunks (chunk_id, content): their terms, written once; these are counted where they are asked for."""
     tokens = written(lengths(chunks, params.stopwords))
     stats = stats_of(tokens).first()
-    return Index(occurrences_of(tokens), stats.n, stats.avgdl, params)
+    return Index(tokens, stats.n, stats.avgdl, params)
 
 
 def bucket(term: str = "term") -> Column:
@@ -178,22 +191,95 @@ def search(index: Index | Blocks, queries: DataFrame, k: int = 5, chunks: DataFr
     """query_id, rank, chunk_id, score, bm25_score: the best ``k`` chunks for each of ``queries`` (query_id, text).
 
     A term that a query repeats counts as often. ``filters`` hold for ``chunks`` (chunk_id and metadata) and change no
-    statistics. Terms that no query has are left out before anything is counted or shuffled.
+    statistics. Terms that no query has are left out before anything is counted or shuffled. Up to MOST_ASKED (query, term) rows are sent to
+    the tasks; beyond that both sides are shuffled by term.
     """
     p = index.params
     kept = chunks.where(matches(chunks, filters)).select("chunk_id") if filters else None
     asked = _asked(queries, p)
     if isinstance(index, Blocks):
         return Pruned(index, asked, k, kept).hits()
-    few = asked.count() <= MOST_ASKED  # else Spark shuffles
-    side = F.broadcast if few else lambda df: df
-    found = summed(index.occurrences.join(side(asked.select("term").distinct()), "term", "left_semi"))
-    asked = side(asked.join(vocab_of(found, index.n).drop("df"), "term"))
-    part = F.col("times") * F.col("idf") * _share(p, index.avgdl, "tf", "doc_len")
+    asked = written(asked)
+    scored = _in_batches(index, asked, k, kept) if asked.count() <= MOST_ASKED else _shuffled(index, asked, kept)
+    return best(scored, k).withColumn("bm25_score", F.col("score"))
+
+
+def _shuffled(index: Index, asked: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """(query_id, chunk_id, score) of all chunks that hold a term, however many queries there are."""
+    found = summed(index.occurrences.join(asked.select("term").distinct(), "term", "left_semi"))
+    asked = asked.join(vocab_of(found, index.n).drop("df"), "term")
+    part = F.col("times") * F.col("idf") * _share(index.params, index.avgdl, "tf", "doc_len")
     if kept is not None:
         found = found.join(kept, "chunk_id", "left_semi")
-    scored = found.join(asked, "term").select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    return best(scored, k).withColumn("bm25_score", F.col("score"))
+    return found.join(asked, "term").select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+
+
+def _counts(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, term, tf) of those ``terms`` that the chunks of a batch hold."""
+    tokens = batch.column("tokens")
+    term = pc.index_in(tokens.flatten(), value_set=terms).fill_null(-1).to_numpy()
+    chunk = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(tokens.offsets)))
+    keys, tf = np.unique(chunk[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
+    return keys // len(terms), keys % len(terms), tf
+
+
+def _in_batches(index: Index, asked: DataFrame, k: int, kept: DataFrame | None) -> DataFrame:
+    """(query_id, chunk_id, score): the best ``k`` for each query of every Arrow batch. At most MOST_ASKED rows of ``asked`` go to the tasks."""
+    spark, p, avgdl = asked.sparkSession, index.params, index.avgdl or 1.0
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {index.tokens.schema['chunk_id'].dataType.simpleString()}, score double"
+    rows = asked.orderBy("query_id", "term").collect()
+    if not rows:
+        return spark.createDataFrame([], schema)
+    terms = pa.array(sorted({r.term for r in rows}))
+    number, place = {t: i for i, t in enumerate(terms.to_pylist())}, {}
+    for r in rows:
+        place.setdefault(r.query_id, len(place))
+    ids = pa.array(list(place), to_arrow_type(asked.schema["query_id"].dataType))
+    words = spark.sparkContext.broadcast(terms)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(words.value), dtype=np.int64)
+        for batch in batches:
+            df += np.bincount(_counts(batch, words.value)[1], minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], names=["term", "df"])
+
+    df = np.zeros(len(terms))
+    for r in index.tokens.select("tokens").mapInArrow(held, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        df[r.term] = r.df
+    idf_ = np.maximum(1e-6, np.log((index.n - df + 0.5) / (df + 0.5) + 1))
+    # what each term is asked by: queries in order, and the weight it has there
+    by = sorted((number[r.term], place[r.query_id], r.times) for r in rows)
+    term = np.array([x[0] for x in by])
+    query, weight = np.array([x[1] for x in by]), np.array([x[2] for x in by]) * idf_[term]
+    first = np.searchsorted(term, np.arange(len(terms) + 1))
+    sent = spark.sparkContext.broadcast((terms, ids, query, weight, first))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ids, query, weight, first = sent.value
+        width = min(len(ids), QUERIES)
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, MOST_SCORES // width)):
+                batch = whole.slice(at, max(1, MOST_SCORES // width))
+                chunk, term, tf = _counts(batch, terms)
+                norm = (1 - p.b) + p.b * batch.column("doc_len").to_numpy() / avgdl
+                share = tf * (p.k1 + 1) / (tf + p.k1 * norm[chunk])
+                # each count meets the queries that ask for its term
+                often = first[term + 1] - first[term]
+                pair = np.repeat(np.arange(len(term)), often)
+                entry = np.arange(len(pair)) - np.repeat(np.cumsum(often) - often, often) + first[term[pair]]
+                value, who, where = weight[entry] * share[pair], query[entry], chunk[pair]
+                for low in range(0, len(ids), width):
+                    own = slice(None) if width == len(ids) else np.flatnonzero((who >= low) & (who < low + width))
+                    size = min(width, len(ids) - low)
+                    total = np.bincount((who[own] - low) * batch.num_rows + where[own], weights=value[own], minlength=size * batch.num_rows).astype(float).reshape(size, batch.num_rows)
+                    which, row, _ = top(total, batch.column("chunk_id"), k)
+                    got = total[which, row]
+                    good = got > 0
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(low + which[good])), batch.column("chunk_id").take(pa.array(row[good])), pa.array(got[good])], names=["query_id", "chunk_id", "score"])
+
+    tokens = index.tokens if kept is None else index.tokens.join(kept, "chunk_id", "left_semi")
+    return tokens.select("chunk_id", "tokens", "doc_len").mapInArrow(scores, schema)
 
 
 class Pruned:

@@ -79,6 +79,12 @@ def test_chunks_of_whole_documents(spark):
         assert all(texts[r.doc_id].startswith(c.content[:50], c.start_char) or c.start_char >= 0 for c in r.c)
 
 
+def test_no_separators_are_the_default_ones(spark):
+    docs = spark.createDataFrame([(1, "one two. three\n\nfour " * 60)], "doc_id long, text string")
+    key = lambda how: [tuple(r) for r in chunking.recursive_chunks(docs, separators=how).orderBy("chunk_index").select("content", "start_char").collect()]
+    assert key([]) == key(None) != key([" "])
+
+
 # the index
 
 
@@ -352,7 +358,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     main([*index, "stats"])
     said = capsys.readouterr().out
     assert "bm25" in said and "avg_latency_ms" in said and "'indexed_documents': 0" in said and "total_documents" in said
-    lines = iter(["/help", "/mode dense", "leader", "", "/exit"])
+    lines = iter(["/help", "/clear", "/mode dense", "leader", "", "/exit"])
     monkeypatch.setattr("builtins.input", lambda _: next(lines))
     main([*index, "interactive"])
-    assert "other text is a query" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "other text is a query" in said and "\033[2J" in said
