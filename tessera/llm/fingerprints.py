@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.runs import let
-from tessera.llm.tables import ranked, written
+from tessera.llm.tables import joined_side, ranked, written
 
 FAMILIES = 8
 LEVELS = 12
@@ -97,8 +97,9 @@ def likeness(x: Column, y: Column) -> Column:
 def prints(rows: DataFrame, key: list[str], kinds: list[str], band_: DataFrame) -> DataFrame:
     """``rows`` with, for each of one or two ``kinds``, the fingerprint struct in place of the column of terms.
 
-    The band is of bounded size (see `band`) and goes to all executors, at every size of the input: terms that are not in it
-    leave the rows where they are, and rows that are dealt out by (some of) the ``key`` stay there.
+    The band has a bounded number of terms for each term that a document has on average (see `band`). Up to MOST_BROADCAST of them, which are counted,
+    go to all executors: terms that are not in it leave the rows where they are, and rows that are dealt out by (some of) the
+    ``key`` stay there. A larger one, of book-length documents, is met by a shuffle of the terms, in which Spark splits frequent ones.
     """
     other = [c for c in rows.columns if c not in key and c not in kinds]
 
@@ -111,7 +112,7 @@ def prints(rows: DataFrame, key: list[str], kinds: list[str], band_: DataFrame)
     each = rows.select(*key, F.struct(*other, F.lit(0).alias("_")).alias("other"), F.posexplode_outer(F.flatten(F.array(*marks))).alias("i", "x"))
     # one row of each key carries the other columns
     each = each.select(*key, F.when(F.coalesce("i", F.lit(0)) == 0, F.col("other")).alias("other"), "x.bits", "x.h")
-    each = each.join(F.broadcast(band_), "h", "left").where("banded or other is not null")
+    each = each.join(joined_side(band_, band_.count()), "h", "left").where("banded or other is not null")
     own = [F.collect_list(F.when(F.col("banded") & (F.col("bits").bitwiseAND(F.lit(1 << i).cast("byte")) != 0), F.col("h"))).alias(k) for i, k in enumerate(kinds)]
     each = each.groupBy(*key).agg(F.first("other", ignorenulls=True).alias("other"), *own)
     return each.select(*key, *(F.col("other")[c].alias(c) for c in other), *(print_of(F.col(k)).alias(k) for k in kinds))

@@ -232,7 +232,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, steps: int = STEPS) -> Field:
-    """A field fitted to at most ``most`` labelled documents outside the held-out fold."""
+    """A field fitted to at most ``most`` labelled documents outside the held-out fold. Of several texts of one doc_id one is taken, by its hash."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality in (0, 1) and doc_id is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
@@ -244,7 +244,9 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, step
         return Field(np.zeros(N_FEATURES + 1), np.zeros((2, 2)), np.zeros(2), np.zeros(N_FEATURES), np.ones(N_FEATURES), 0.5 if share is None else float(share))
     few = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, quality int"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id")
-    got = rows.select("text", "quality").mapInArrow(_sampled, "quality int, x array<float>").toArrow()
+    # one row an id, before anything comes to one place
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", "quality")
+    got = one.mapInArrow(_sampled, "quality int, x array<float>").toArrow()
     runs, label = [], []
     for batch in got.to_batches():
         for q, flat in zip(batch.column("quality").to_pylist(), batch.column("x"), strict=True):

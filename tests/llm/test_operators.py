@@ -445,6 +445,24 @@ def test_log_entries_stay_small(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "v1", 16, 160)]
 
 
+def test_fingerprints_without_a_broadcast(docs, monkeypatch):
+    from tessera.llm import tables
+
+    key = lambda df: sorted(map(str, df.collect()))
+    one, two = key(fingerprints.edit_likeness(docs)), key(fingerprints.fingerprints(docs))
+    monkeypatch.setattr(tables, "MOST_BROADCAST", 0)
+    assert key(fingerprints.edit_likeness(docs)) == one and key(fingerprints.fingerprints(docs)) == two
+
+
+def test_fit_takes_one_text_of_an_id(spark):
+    rows = [(i, f"good words are here {i}\nand more of them" if i % 2 else "x x x\n!!! $$$") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    schema = "doc_id long, text string"
+    once = quality.trained(spark.createDataFrame(rows, schema), labels, 20)
+    often = quality.trained(spark.createDataFrame(rows * 30, schema).repartition(5), labels, 20)
+    assert str(once) == str(often)
+
+
 def test_racing_commits(spark, tmp_path, monkeypatch):
     """A batch that another writer commits between reading the log and writing to it counts once; so does one that comes in during compaction."""
     kind = "source string, lang string, tokenizer string, kind string, n_tokens long, old_tokens long"
