@@ -43,11 +43,17 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * (x @ y.T), 0))
 
 
+def assigned(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest of ``centres`` to each row of ``x``, some rows at a time."""
+    step = max(1, dense.MOST_SCORES // max(len(centres), 1))
+    return np.concatenate([np.empty(0, np.int64), *(distances(x[at : at + step], centres).argmin(axis=1) for at in range(0, len(x), step))])
+
+
 def fitted(x: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
     """``n`` centres of the rows of ``x``, or fewer: means of what is nearest to each, from evenly spread rows on."""
     centres = np.unique(x[np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)], axis=0)
     for _ in range(rounds):
-        near = distances(x, centres).argmin(axis=1)
+        near = assigned(x, centres)
         count = np.bincount(near, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
@@ -89,8 +95,7 @@ class Clusters:
                     x = space(_matrix(batch))
                     if x.shape[1] != sent.value.shape[1]:
                         raise ValueError("vectors have different dimensions")
-                    far = distances(x, sent.value)
-                    near = far.argmin(axis=1)
+                    near = assigned(x, sent.value)
                     # taken anew: the difference of large numbers is not exact
                     apart = np.sqrt(((x - sent.value[near]) ** 2).sum(axis=1))
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(apart)], names=[*batch.schema.names, "cluster", "apart"])

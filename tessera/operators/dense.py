@@ -17,6 +17,8 @@ from tessera.sources.shared import written
 METRICS = ("cosine", "dot_product", "euclidean")
 #: Queries of one matrix product.
 BLOCK = 2048
+#: Scores of one matrix product (as doubles, 8 MB): so many rows at a time meet a block of queries.
+MOST_SCORES = 1 << 20
 #: Numbers in the queries that go to the tasks at once (as doubles, 256 MB); more take several passes over the vectors.
 MOST_NUMBERS = 1 << 25
 
@@ -43,9 +45,11 @@ def best(hits: DataFrame, k: int, order: list[Column] | None = None) -> DataFram
 def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     if metric == "euclidean":
         square = (x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None] - 2 * (x @ q.T)
-        near = square < 1e-6  # the difference of large numbers; taken anew
-        for i, j in zip(*np.nonzero(near), strict=True):
-            square[i, j] = ((x[i] - q[j]) ** 2).sum()
+        i, j = np.nonzero(square < 1e-6)  # the difference of large numbers; taken anew, some at a time
+        step = max(1, MOST_SCORES // max(x.shape[1], 1))
+        for at in range(0, len(i), step):
+            some = slice(at, at + step)
+            square[i[some], j[some]] = ((x[i[some]] - q[j[some]]) ** 2).sum(axis=1)
         return 1 / (1 + np.sqrt(np.maximum(square, 0)))
     dot = x @ q.T
     if metric == "dot_product":
@@ -71,17 +75,40 @@ def top(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarr
 
 
 def nearest(metric: str, x: np.ndarray, q: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the best ``k`` rows of ``x`` for each of ``q``, and what `top` says of the k-th."""
-    scores = _scores(metric, x, q).T
-    query, row, least = top(scores, ids, k)
-    return query, row, scores[query, row], least
+    """(query, row, score) of the best ``k`` rows of ``x`` for each of ``q``, and what `top` says of the k-th.
+
+    As many rows as MOST_SCORES allows are scored at a time; only what reaches the k-th score of the rows before is kept of them.
+    """
+    step = max(1, MOST_SCORES // max(len(q), 1))
+    if len(x) <= step:
+        scores = _scores(metric, x, q).T
+        query, row, least = top(scores, ids, k)
+        return query, row, scores[query, row], least
+    goal, parts = np.full(len(q), -np.inf), []
+    for at in range(0, len(x), step):
+        part = ids.slice(at, min(step, len(x) - at))
+        scores = _scores(metric, x[at : at + step], q).T
+        query, row, least = top(scores, part, k)
+        value = scores[query, row]
+        good = value >= goal[query] - 2e-9  # ties are told apart below
+        parts.append((query[good], at + row[good], value[good]))
+        if len(part) >= k:
+            goal = np.maximum(goal, least)
+    query, row, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+    places = np.rint(value * 1e9)
+    by_id = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    order = np.lexsort((by_id[row], -places, query))
+    begin = np.searchsorted(query[order], np.arange(len(q)))
+    order = order[np.arange(len(order)) - begin[query[order]] < k]
+    last = np.searchsorted(query[order], np.arange(len(q)), side="right") - 1
+    return query[order], row[order], value[order], places[order][last] / 1e9
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", filters: Mapping[str, Any] | None = None, threshold: float | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score, dense_score: the ``k`` nearest of ``vectors`` (chunk_id, embedding, ...) to each of
     ``queries`` (query_id, embedding).
 
-    Every Arrow batch is one matrix product per block of queries, and gives up its own best ``k``; only these are shuffled.
+    Every Arrow batch meets the queries in blocks, some rows at a time, and gives up its own best ``k``; only these are shuffled.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")

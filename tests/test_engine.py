@@ -342,6 +342,29 @@ def test_many_query_passes(spark, monkeypatch):
     assert dense.search(vectors, queries.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_scores_of_a_large_batch_are_never_held_at_once(metric):
+    """Rows are scored some at a time, with the same hits; a third of them are copies, so that ties cross the cuts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    x, q = r.normal(size=(6000, 4)), r.normal(size=(1500, 4))
+    x[::3], q[:200] = x[0], x[0]
+    ids = pa.array(r.permutation(6000))
+    tracemalloc.start()
+    query, row, value, least = dense.nearest(metric, x, q, ids, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # all scores would be 72 MB, several times over
+    scores = dense._scores(metric, x, q).T
+    for i in (0, 150, 700, 1499):
+        want = sorted(range(6000), key=lambda j: (-np.rint(scores[i, j] * 1e9), ids[j].as_py()))[:5]
+        assert row[query == i].tolist() == want and least[i] == pytest.approx(scores[i, want[-1]], abs=1e-8)
+    assert len(query) == 7500 and np.allclose(value, scores[query, row], atol=1e-9)
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from tessera.__main__ import main
 
