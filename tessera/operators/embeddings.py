@@ -12,8 +12,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import runs
 from tessera.functions.text import let, word_runs
 
+#: Words, and numbers of vectors, that a task works on at once.
+MOST_WORDS = 1 << 18
+
 Encode = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
@@ -42,15 +46,17 @@ class HashingEmbeddings:
 
         @F.pandas_udf("array<float>")
         def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            # one pass over the words of all texts of a batch, whatever the dimension
+            # one pass over the words of many texts, whatever the dimension
             for buckets in batches:
-                rows = [b if b is not None else () for b in buckets]
-                size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-                flat = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
-                place = np.repeat(np.arange(len(rows)), size) * dimension + flat
-                counts = np.bincount(place, minlength=len(rows) * dimension).reshape(len(rows), dimension)
-                norm = np.sqrt((counts * counts).sum(axis=1))
-                yield pd.Series(list((counts / np.where(norm == 0, 1, norm)[:, None]).astype(np.float32)), dtype=object)
+                every = [b if b is not None else () for b in buckets]
+                at = np.concatenate([[0], np.cumsum([len(b) for b in every], dtype=np.int64)])
+                for first, end in runs(at, MOST_WORDS, max(1, MOST_WORDS // dimension)):
+                    rows, size = every[first:end], np.diff(at[first : end + 1])
+                    flat = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+                    place = np.repeat(np.arange(len(rows)), size) * dimension + flat
+                    counts = np.bincount(place, minlength=len(rows) * dimension).reshape(len(rows), dimension)
+                    norm = np.sqrt((counts * counts).sum(axis=1))
+                    yield pd.Series(list((counts / np.where(norm == 0, 1, norm)[:, None]).astype(np.float32)), dtype=object)
 
         return counted(F.transform(word_runs(text), lambda w: (F.crc32(w.cast("binary")) % dimension).cast("int")))
 

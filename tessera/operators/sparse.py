@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.functions.batches import runs
 from tessera.functions.filters import matches
 from tessera.functions.text import terms
 from tessera.operators.dense import BLOCK as QUERIES
@@ -39,6 +40,8 @@ class BM25:
 MOST_ASKED = 100_000
 #: Scores that a task holds at once.
 MOST_SCORES = 1 << 22
+#: Terms, and counts that meet a query, that a task works on at once.
+MOST_TERMS = 1 << 18
 #: Chunks of one block of postings, about.
 BLOCK = 64
 #: Folders that terms are dealt to by hash, so that a search reads those of its terms only.
@@ -240,7 +243,8 @@ def _in_batches(index: Index, asked: DataFrame, k: int, kept: DataFrame | None)
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(words.value), dtype=np.int64)
         for batch in batches:
-            df += np.bincount(_counts(batch, words.value)[1], minlength=len(df))
+            for a, b in runs(np.asarray(batch.column("tokens").offsets), MOST_TERMS):
+                df += np.bincount(_counts(batch.slice(a, b - a), words.value)[1], minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], names=["term", "df"])
 
@@ -258,25 +262,35 @@ def _in_batches(index: Index, asked: DataFrame, k: int, kept: DataFrame | None)
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, ids, query, weight, first = sent.value
         width = min(len(ids), QUERIES)
+        held = np.zeros((len(ids), k))  # each query's best scores so far
         for whole in batches:
-            for at in range(0, whole.num_rows, max(1, MOST_SCORES // width)):
-                batch = whole.slice(at, max(1, MOST_SCORES // width))
-                chunk, term, tf = _counts(batch, terms)
-                norm = (1 - p.b) + p.b * batch.column("doc_len").to_numpy() / avgdl
-                share = tf * (p.k1 + 1) / (tf + p.k1 * norm[chunk])
-                # each count meets the queries that ask for its term
-                often = first[term + 1] - first[term]
-                pair = np.repeat(np.arange(len(term)), often)
-                entry = np.arange(len(pair)) - np.repeat(np.cumsum(often) - often, often) + first[term[pair]]
-                value, who, where = weight[entry] * share[pair], query[entry], chunk[pair]
-                for low in range(0, len(ids), width):
-                    own = slice(None) if width == len(ids) else np.flatnonzero((who >= low) & (who < low + width))
-                    size = min(width, len(ids) - low)
-                    total = np.bincount((who[own] - low) * batch.num_rows + where[own], weights=value[own], minlength=size * batch.num_rows).astype(float).reshape(size, batch.num_rows)
-                    which, row, _ = top(total, batch.column("chunk_id"), k)
-                    got = total[which, row]
-                    good = got > 0
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(low + which[good])), batch.column("chunk_id").take(pa.array(row[good])), pa.array(got[good])], names=["query_id", "chunk_id", "score"])
+            for i, j in runs(np.asarray(whole.column("tokens").offsets), MOST_TERMS, max(1, MOST_SCORES // width)):
+                part = whole.slice(i, j - i)
+                counted = _counts(part, terms)
+                often = first[counted[1] + 1] - first[counted[1]]
+                met = np.concatenate([[0], np.cumsum(np.bincount(counted[0], weights=often, minlength=part.num_rows))])
+                for a, b in runs(met, MOST_TERMS):
+                    batch, own = part.slice(a, b - a), slice(*np.searchsorted(counted[0], [a, b]))
+                    chunk, term, tf = counted[0][own] - a, counted[1][own], counted[2][own]
+                    norm = (1 - p.b) + p.b * batch.column("doc_len").to_numpy() / avgdl
+                    share = tf * (p.k1 + 1) / (tf + p.k1 * norm[chunk])
+                    # each count meets the queries that ask for its term
+                    pair = np.repeat(np.arange(len(term)), often[own])
+                    entry = np.arange(len(pair)) - np.repeat(np.cumsum(often[own]) - often[own], often[own]) + first[term[pair]]
+                    value, who, where = weight[entry] * share[pair], query[entry], chunk[pair]
+                    for low in range(0, len(ids), width):
+                        own_ = slice(None) if width == len(ids) else np.flatnonzero((who >= low) & (who < low + width))
+                        size = min(width, len(ids) - low)
+                        total = np.bincount((who[own_] - low) * batch.num_rows + where[own_], weights=value[own_], minlength=size * batch.num_rows).astype(float).reshape(size, batch.num_rows)
+                        which, row, _ = top(total, batch.column("chunk_id"), k)
+                        got = total[which, row]
+                        # only what reaches the k-th score so far; scores are told apart to nine places
+                        good = (got > 0) & (got >= held[low + which, -1] - 2e-9)
+                        which, row, got = which[good], row[good], got[good]
+                        best_ = np.zeros((size, k))
+                        best_[which, np.arange(len(which)) - np.searchsorted(which, np.arange(size))[which]] = got
+                        held[low : low + size] = np.sort(np.concatenate([held[low : low + size], best_], axis=1), axis=1)[:, : k - 1 : -1]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(low + which)), batch.column("chunk_id").take(pa.array(row)), pa.array(got)], names=["query_id", "chunk_id", "score"])
 
     tokens = index.tokens if kept is None else index.tokens.join(kept, "chunk_id", "left_semi")
     return tokens.select("chunk_id", "tokens", "doc_len").mapInArrow(scores, schema)

@@ -365,6 +365,30 @@ def test_scores_of_a_large_batch_are_never_held_at_once(metric):
     assert len(query) == 7500 and np.allclose(value, scores[query, row], atol=1e-9)
 
 
+def test_batches_are_worked_on_in_parts(spark, monkeypatch):
+    """Runs of bounded size, a longer row alone; BM25, chunks and hashed vectors of a batch of several parts are those of a plain way."""
+    from tessera.functions import batches
+
+    at = np.array([0, 3, 3, 10, 11, 12, 20])
+    assert list(batches.runs(at, 4)) == [(0, 2), (2, 3), (3, 5), (5, 6)] and list(batches.runs(at, 4, 1)) == [(i, i + 1) for i in range(6)]
+    assert list(batches.runs(np.array([0]), 4)) == []
+    r = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(300)])
+    texts = [" ".join(words[r.integers(0, 300, int(n))]) for n in r.integers(1, 20_000, 60)] + ["w1 w2 w3"] * 3 + [None, ""]
+    assert sum(len(t or "") for t in texts) > 2 * chunking.MOST_CHARACTERS
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").coalesce(1)
+    asked = spark.createDataFrame([(i, " ".join(words[r.integers(0, 300, 3)])) for i in range(12)], "query_id long, text string")
+    found = lambda: sorted((x.query_id, x["rank"], x.chunk_id, round(x.score, 7)) for x in sparse.search(sparse.build(chunks), asked, 4).collect())
+    hits = found()
+    monkeypatch.setattr(sparse, "MOST_ASKED", 0)
+    assert found() == hits and len(hits) == 48
+    made = chunking.recursive_chunks(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))).groupBy("doc_id").agg(F.count("content").alias("n")).collect()
+    splitter = RecursiveSplitter(500, 100, chunking.SEPARATORS, True)
+    assert {x.doc_id: x.n for x in made} == {i: len(splitter.split(t)) for i, t in enumerate(texts) if t}
+    vectors = {x.chunk_id: x.v for x in chunks.select("chunk_id", HashingEmbeddings(8).documents("content").alias("v")).collect()}
+    assert len(vectors) == len(texts) and all(sum(x * x for x in vectors[i]) == pytest.approx(1 if t else 0) for i, t in enumerate(texts))
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from tessera.__main__ import main
 
