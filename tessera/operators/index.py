@@ -21,6 +21,8 @@ from tessera.sources.journal import Journal
 TABLES = ("registry", "chunks", "vectors", "words")
 #: How many merges ago a segment that a reader may still hold was replaced, at most.
 GENERATIONS = 8
+#: Documents that are gone, whose ids are sent to all executors at most: some 100 MB. Beyond that rows are shuffled by document.
+MOST_GONE = 1 << 21
 #: Letters of a column's least and largest value that are kept with a segment.
 BOUND = 64
 
@@ -107,7 +109,12 @@ class Manager:
     def _gone(self, state: dict[str, Any], segments: list[dict[str, Any]] | None = None) -> DataFrame | None:
         """(doc_id, gone): only rows of segment ``gone`` and later ones count."""
         rows = self._rows("gone", state, segments)
-        return None if rows is None else rows.groupBy("doc_id").agg(F.max("seq").alias("gone"))
+        if rows is None:
+            return None
+        marks = rows.groupBy("doc_id").agg(F.max("seq").alias("gone"))
+        # where a segment's log entry doesn't say how many they are, they are shuffled
+        most = sum(s.get("gone", MOST_GONE + 1) for s in (state["segments"] if segments is None else segments) if "gone" in s["tables"])
+        return F.broadcast(marks) if most <= MOST_GONE else marks
 
     def _live(self, name: str, state: dict[str, Any], segments: list[dict[str, Any]] | None = None) -> DataFrame | None:
         """The live rows of a table, of all segments or of these."""
@@ -175,7 +182,7 @@ class Manager:
         gone = self._write("gone", gone.select("doc_id", "chunk_count", "terms"), segment, state)
         n, chunks, words = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("chunk_count"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
         state["documents"], state["chunks"], state["terms"] = state["documents"] - n, state["chunks"] - chunks, state["terms"] - words
-        segment["rows"] += n
+        segment["rows"], segment["gone"] = segment["rows"] + n, n
         if not n:
             return 0, None
         # the segment itself is not among those of the state yet
@@ -210,7 +217,7 @@ class Manager:
         batch = self._work("batch", chosen(docs) if known is None or force else fresh(docs, known), segment)
         made = self._write("chunks", self.chunk(batch), segment, state)
         own = F.coalesce(terms("content", self.params.stopwords), F.array().cast("array<string>"))
-        tokens = self._work("tokens", made.select("chunk_id", "doc_id", own.alias("tokens")).withColumn("doc_len", F.size("tokens")), segment)
+        tokens = self._work("tokens", sparse.forward(made.select("chunk_id", "doc_id", own.alias("tokens")).withColumn("doc_len", F.size("tokens"))), segment)
         counts = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"), F.sum("doc_len").alias("terms"))
         optional = [c for c in ("source", "filename", "modified_at") if c in batch.columns]
         entries = batch.select("doc_id", "doc_hash", *optional).join(counts, "doc_id").withColumn("indexed_at", F.current_timestamp())
@@ -234,13 +241,14 @@ class Manager:
         return {"indexed_documents": n_new, "skipped_documents": n_batch - n_new, "new_chunks": n_chunks, "total_chunks": state["chunks"], "total_documents": state["documents"]}
 
     def _write_made(self, made: DataFrame, tokens: DataFrame, less: DataFrame | None, segment: dict[str, Any], state: dict[str, Any]) -> None:
-        """The tables that are made of a segment's chunks."""
+        """The tables that are made of a segment's chunks, and of their terms as `sparse.forward` counts them."""
         beside = [c for c in made.columns if c not in ("chunk_id", "doc_id", "content")]
         vectors = self._write("vectors", self._embedded(made, segment, state).select("chunk_id", "doc_id", "embedding", *beside), segment, state)
         segment["bounds"] = self._bounds(vectors.select(*beside)) if beside else {}
-        flat = self._work("postings", sparse.postings_of(tokens), segment)
-        words = flat.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"))
-        self._write("words", words.groupBy("doc_id").agg(F.collect_list(F.struct("term", "df")).alias("words")), segment, state)
+        # a row for each chunk: the differences are summed anyway
+        words = F.transform("counts.term", lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("df")))
+        self._write("words", tokens.where("doc_len > 0").select("doc_id", words.alias("words")), segment, state)
+        flat = tokens.select("chunk_id", "doc_id", "doc_len", F.inline("counts"))
         rows = self._write("postings", sparse.blocked(flat, tokens.select("chunk_id", "doc_len")), segment, state)
         self._write_frequencies([rows.select("term", "df"), *([] if less is None else [less])], segment, state)
 
@@ -335,7 +343,8 @@ class Manager:
             self._write("embedded", embedded, segment, state)
         if start and (gone := self._rows("gone", state, old)) is not None:
             marks = gone.groupBy("doc_id").agg(F.max("chunk_count").alias("chunk_count"), F.max("terms").alias("terms"))
-            segment["rows"] += self._write("gone", marks, segment, state).count()
+            segment["gone"] = self._write("gone", marks, segment, state).count()
+            segment["rows"] += segment["gone"]
         if "vectors" in segment["tables"]:
             rows = self._rows("vectors", state, [segment])
             segment["rows"] += rows.count()

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.batches import runs
 from tessera.functions.filters import matches
-from tessera.functions.text import terms
+from tessera.functions.text import let, terms
 from tessera.operators.dense import BLOCK as QUERIES
 from tessera.operators.dense import best, top
 from tessera.sources.shared import written
@@ -125,6 +125,19 @@ def summed(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("term", "chunk_id", "doc_len", *(c for c in occurrences.columns if c not in ("term", "chunk_id", "doc_len", "tf"))).agg(F.sum("tf").alias("tf"))
 
 
+def counted(tokens: Column | str) -> Column:
+    """The different terms of an array, sorted, each with its tf: counted within the row, in time of sorting it."""
+    length = lambda s: F.size(s)
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    rows = lambda s, at: F.transform(at, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), length(s)) - i).cast("long").alias("tf")))
+    return let(F.sort_array(tokens), lambda s: let(begins(s), lambda at: rows(s, at)))
+
+
+def forward(tokens: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, doc_len, counts) of tokens (chunk_id, doc_id, tokens, doc_len): the postings of each chunk together. Nothing is shuffled."""
+    return tokens.select("chunk_id", "doc_id", "doc_len", counted("tokens").alias("counts"))
+
+
 def postings_of(tokens: DataFrame) -> DataFrame:
     """Counts of terms within each chunk."""
     return summed(occurrences_of(tokens))
@@ -159,18 +172,22 @@ def blocked(postings: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """bucket, term, block, df, most_tf, least_len, postings: postings (term, chunk_id, doc_id, doc_len, tf) by term and block, sorted by term.
 
     A block has about BLOCK chunks whose lengths are alike within a factor of the square root of two. ``chunks`` (chunk_id, doc_len) are those of
-    the postings, where they are at hand.
+    the postings, where they are at hand; else their number is estimated.
     """
     kind = F.floor(2 * F.log2(F.col("doc_len"))).cast("long")
     # a bounded number of kinds: two for each doubling of a length
-    chunks = postings.select("chunk_id", "doc_len").distinct() if chunks is None else chunks.where("doc_len > 0")
-    sizes = {r.kind: r.n for r in chunks.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a sketch will do where there are only postings: no posting is shuffled for it
+    number = F.count(F.lit(1)) if chunks is not None else F.greatest(F.approx_count_distinct("chunk_id"), F.lit(1))
+    sizes = {r.kind: r.n for r in (postings if chunks is None else chunks).where("doc_len > 0").groupBy(kind.alias("kind")).agg(number.alias("n")).collect()}
     parts = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, -(-n // BLOCK)))) if sizes else F.lit(None).cast("map<bigint,int>")
     block = F.shiftleft(kind, 40) + F.pmod(F.xxhash64("chunk_id"), F.try_element_at(parts, kind))
-    rows = postings.withColumn("block", block).groupBy(bucket().alias("bucket"), "term", "block").agg(
-        F.count(F.lit(1)).alias("df"), F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_len"), F.collect_list(F.struct("chunk_id", "doc_id", "doc_len", "tf")).alias("postings")
+    # one shuffle, by ranges that keep a term's block together, both groups the rows and sorts them
+    by = ["bucket", "term", "block"]
+    rows = postings.select(bucket().alias("bucket"), "term", block.alias("block"), F.struct("chunk_id", "doc_id", "doc_len", "tf").alias("posting")).repartitionByRange(*by)
+    rows = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("df"), F.max("posting.tf").alias("most_tf"), F.min("posting.doc_len").alias("least_len"), F.collect_list("posting").alias("postings")
     )
-    return rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    return rows.sortWithinPartitions(*by)
 
 
 def alive(rows: DataFrame, gone: DataFrame | None) -> DataFrame:

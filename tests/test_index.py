@@ -249,3 +249,19 @@ def test_texts_are_embedded_once(spark, tmp_path):
     m.compact()
     m.index_documents(documents(spark, [(9, "alpha", "z"), (8, "gamma", "z")]))
     assert said() == ["alpha", "beta", "gamma"] and m.table("vectors").count() == 6
+
+
+def test_postings_are_counted_in_the_row_and_shuffled_once(spark):
+    rows = [(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["a"]), (4, ["z", "z"])]
+    tokens = spark.createDataFrame([(i, i * 10, t, len(t)) for i, t in rows], "chunk_id long, doc_id long, tokens array<string>, doc_len int")
+    made = sparse.forward(tokens)
+    assert {r.chunk_id: [(c.term, c.tf) for c in r.counts] for r in made.collect()} == {1: [("a", 1), ("b", 3), ("c", 1)], 2: [], 3: [("a", 1)], 4: [("z", 2)]}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    flat = made.select("chunk_id", "doc_id", "doc_len", F.inline("counts"))
+    columns = ("term", "chunk_id", "doc_id", "doc_len", "tf")
+    assert sorted(map(tuple, flat.select(*columns).collect())) == sorted(map(tuple, sparse.postings_of(tokens).select(*columns).collect()))
+    for chunks in (None, tokens.select("chunk_id", "doc_len")):
+        blocks = sparse.blocked(flat, chunks)
+        assert blocks._jdf.queryExecution().sparkPlan().toString().count("rangepartitioning") + blocks._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 1
+        assert sorted((r.term, p.chunk_id, p.doc_id, p.doc_len, p.tf) for r in blocks.collect() for p in r.postings) == sorted(map(tuple, flat.select(*columns).collect()))
+        assert all(r.df == len(r.postings) and r.most_tf == max(p.tf for p in r.postings) and r.least_len == min(p.doc_len for p in r.postings) for r in blocks.collect())
