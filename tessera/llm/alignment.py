@@ -4,7 +4,7 @@ A text is encoded with a space before it by a byte-level BPE (A), and as it is b
 space (B). Both sequences of tokens tile the same bytes. Every token points to the token of the other side that overlaps it
 and ends farthest to the right; a B token that ends where that token ends points to itself. Doubling all pointers at
 once (each takes its target's target) until none changes leads every token to the last B token of its group: the label.
-A block is a run of documents of about BLOCK_BYTES, or one longer document, and is doubled as a whole with NumPy.
+A block is a run of documents of about BLOCK_BYTES, or one longer document; its documents are doubled with NumPy, many together.
 
 An A and a B token are linked where their byte ranges overlap. How often a pair of ids is linked in all documents is
 counted in Spark: each block is a row with its different pairs and their numbers; the pairs of all blocks are summed; the
@@ -12,7 +12,9 @@ sums go back to the blocks that asked, dealt by pair and salt, so that a pair th
 Nothing is broadcast or collected, and a task holds one block.
 
 Texts are cut before a space that follows something else than white space: no token of either kind crosses such a place, so
-words are encoded once per worker and kept, up to MOST_WORDS. Tokenizers of which this doesn't hold are refused.
+words are encoded once per worker and kept, up to MOST_WORDS; those that are new are encoded as one text, some at a time, and told
+apart by their bytes. Tokenizers of which this doesn't hold are refused. A block is aligned in parts of PART_BYTES, so that what a
+worker holds besides its batch and its words is small.
 
 Texts that are null, empty, or whose joined bytes differ from space+text (the piece model says U+2581 and a space alike) have no
 tokens: all numbers are 0 and groups is ''. Rows that repeat count as often; a doc_id that repeats is a row each time. Other columns
@@ -39,9 +41,13 @@ from tessera.llm.tables import written
 from tessera.llm.textops import pieces
 
 BLOCK_BYTES = 1 << 20
+#: Of a block's documents that are encoded and aligned at a time, or one longer document.
+PART_BYTES = 1 << 18
 #: Words that a worker keeps the tokens of, of up to WORD_CHARS characters; where there are more it begins anew.
-MOST_WORDS = 1 << 18
+MOST_WORDS = 1 << 17
 WORD_CHARS = 64
+#: New words that are encoded as one text.
+TOGETHER = 1 << 10
 #: Parts that the blocks which ask for one pair are dealt into.
 SALTS = 16
 
@@ -89,38 +95,84 @@ class Tokens:
             self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
-        self.kept: dict[str, tuple[bytes, bytes, bool]] = {}
-        # a token with what follows it: more of its own side, the other side or the next group, nothing
-        self.a_said = [b"%d%s" % (i, mark) for i in range(len(self.a_bytes)) for mark in (b",", b"|")]
-        self.b_said = [b"%d%s" % (i, mark) for i in range(len(self.b_bytes)) for mark in (b",", b";", b"")]
-
-    def _encoded(self, words: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes, bool]]]:
-        ours = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        theirs = self.b.encode([w[1:] for w in words], num_threads=1)
-        for w, a, b in zip(words, ours, theirs, strict=True):
-            b = b if len(w) > 1 else [self.space]  # a lone space is a piece of its own only after other text
-            raw = w.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
-            yield w, (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same)
-
-    def encoded(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """The ids of both sides (as int32) for each text; nothing where it has no tokens."""
+        self._forget()
+        # a token with what follows it, A's first: more of its own side, the other side or the next group, nothing
+        self.said = [b"%d%s" % (i, mark) for i in range(len(self.a_bytes)) for mark in (b",", b"|")] + [b"%d%s" % (i, mark) for i in range(len(self.b_bytes)) for mark in (b",", b";", b"")]
+
+    def _forget(self) -> None:
+        """``slot``: the number of each kept word; ``ids`` and ``at``: for each side the ids of all of them, and where each word's begin (one more at the end); ``same``: whether its bytes are its tokens' on both sides."""
+        self.slot: dict[str, int] = {}
+        self.ids, self.at = ([np.zeros(n, kind) for _ in range(2)] for n, kind in ((0, np.int32), (1, np.int64)))
+        self.same = np.zeros(0, bool)
+
+    def _bytes(self, side: int, ids: np.ndarray) -> bytes:
+        entries = (self.a_bytes, self.b_bytes)[side]
+        return b"".join([entries[i] for i in ids.tolist()])
+
+    def _one(self, word: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        ids = [self.a.encode(word, add_special_tokens=False).ids, self.b.encode(word[1:]) if len(word) > 1 else [self.space]]  # a lone space is a piece of its own only after other text
+        ids = [np.array(x, np.int32) for x in ids]
+        same = all(self._bytes(k, x) == word.encode() for k, x in enumerate(ids))
+        return ids, [np.array([len(x)]) for x in ids], np.array([same])
+
+    def _encoded(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For each side the ids of all words and how many each has; whether a word's bytes are its tokens' on both sides."""
+        if len(words) > 1 and not any(w[-1].isspace() for w in words[:-1]):
+            text = "".join(words)
+            raw, end = text.encode(), np.cumsum([len(w.encode()) for w in words])
+            ids = [np.array(x, np.int32) for x in (self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]))]
+            if all(self._bytes(k, x) == raw for k, x in enumerate(ids)):
+                ends = [np.cumsum(size[x]) for size, x in zip((self.a_size, self.b_size), ids, strict=True)]
+                upto = [np.searchsorted(e, end) for e in ends]
+                if all(np.array_equal(e[u], end) for e, u in zip(ends, upto, strict=True)):
+                    return ids, [np.diff(u + 1, prepend=0) for u in upto], np.ones(len(words), bool)
+        if len(words) == 1:
+            return self._one(words[0])
+        # a word that is said otherwise is among them: halves
+        return self._joined([self._encoded(words[: len(words) // 2]), self._encoded(words[len(words) // 2 :])])
+
+    @staticmethod
+    def _joined(parts: list) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        ids, number = ([np.concatenate([p[i][k] for p in parts]) for k in (0, 1)] for i in (0, 1))
+        return ids, number, np.concatenate([p[2] for p in parts])
+
+    def encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each side the ids (int32) of all texts, one text after the other, and how many each has; none where it has no tokens."""
         split = [WORD.findall(" " + t) if t else [] for t in texts]
-        if len(self.kept) > MOST_WORDS:
-            self.kept.clear()
-        kept = self.kept
-        new = list({w for words in split for w in words if w not in kept})
-        once = dict(self._encoded([w for w in new if len(w) > WORD_CHARS]))
-        kept.update(self._encoded([w for w in new if len(w) <= WORD_CHARS]))
-        for text, words in zip(texts, split, strict=True):
-            got = [kept[w] if w in kept else once[w] for w in words]
-            a, b = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
-            if not all([g[2] for g in got]):
-                raw = (" " + text).encode()
-                whole = [b"".join([t[i] for i in np.frombuffer(x, np.int32).tolist()]) for t, x in ((self.a_bytes, a), (self.b_bytes, b))]
-                if whole != [raw, raw]:
-                    a = b = b""
-            yield a, b
+        if len(self.slot) > MOST_WORDS:
+            self._forget()
+        slot, had = self.slot, len(self.slot)
+        new = sorted({w: None for words in split for w in words if w not in slot}, key=lambda w: len(w) > WORD_CHARS)
+        at, flat, same = self.at, self.ids, self.same
+        if new:
+            ids, number, fits = self._joined([self._encoded(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)])
+            flat = [np.concatenate(x) for x in zip(flat, ids, strict=True)]
+            at = [np.concatenate([a, a[-1] + np.cumsum(n)]) for a, n in zip(at, number, strict=True)]
+            same = np.concatenate([same, fits])
+            slot.update(zip(new, range(had, had + len(new)), strict=True))
+        first = np.concatenate([[0], np.cumsum([len(words) for words in split], dtype=np.int64)])
+        said = np.fromiter((slot[w] for words in split for w in words), np.int64, int(first[-1]))
+        # long words are forgotten at once
+        while new and len(new[-1]) > WORD_CHARS:
+            del slot[new.pop()]
+        keep = had + len(new)
+        self.at, self.same = [a[: keep + 1].copy() for a in at], same[:keep].copy()
+        self.ids = [x[: a[-1]].copy() for x, a in zip(flat, self.at, strict=True)]
+        out, numbers = [], []
+        for a, x in zip(at, flat, strict=True):
+            n = a[said + 1] - a[said]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            out.append(x[np.repeat(a[said] - upto[:-1], n) + np.arange(upto[-1])])
+            numbers.append(np.diff(upto[first]))
+        odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(~same[said])])[first]))
+        if len(odd):
+            begin = [np.concatenate([[0], np.cumsum(n)]) for n in numbers]
+            none = [i for i in odd.tolist() if any(self._bytes(k, out[k][begin[k][i] : begin[k][i + 1]]) != (" " + texts[i]).encode() for k in (0, 1))]
+            for k in (0, 1):
+                kept = np.ones(len(texts), bool)
+                kept[none] = False
+                out[k], numbers[k] = out[k][np.repeat(kept, numbers[k])], numbers[k] * kept
+        return out, numbers
 
 
 @cache
@@ -151,11 +203,9 @@ def linked(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(a_end, ends), np.searchsorted(b_end, ends), ends
 
 
-def _aligned_block(tokens: Tokens, texts: list[str | None], with_groups: bool) -> dict[str, list]:
-    """The columns of BLOCK from n_a on."""
-    coded = list(tokens.encoded([t or "" for t in texts]))
-    n_a, n_b = (np.array([len(x[k]) // 4 for x in coded], dtype=np.int64) for k in (0, 1))
-    a, b = (np.frombuffer(b"".join([x[k] for x in coded]), np.int32) for k in (0, 1))
+def _aligned_part(tokens: Tokens, texts: list[str], with_groups: bool) -> tuple[dict[str, list], np.ndarray]:
+    """The columns of BLOCK from n_a to groups_sha256, and the id pair of each link."""
+    (a, b), (n_a, n_b) = tokens.encoded(texts)
     a_end, b_end = np.cumsum(tokens.a_size[a]), np.cumsum(tokens.b_size[b])
     a_first, b_first = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
     label = labels(a_end, b_end)
@@ -172,20 +222,26 @@ def _aligned_block(tokens: Tokens, texts: list[str | None], with_groups: bool) -
     b_ends[b_first[1:][n_b > 0] - 1] = 2
     line = np.empty(len(a) + len(b), dtype=np.int64)
     line[np.arange(len(a)) + before_b[group_a]] = 2 * a.astype(np.int64) + a_ends
-    line[np.arange(len(b)) + upto_a[group_b]] = -1 - (3 * b.astype(np.int64) + b_ends)
-    a_said, b_said = tokens.a_said, tokens.b_said
-    said = [a_said[x] if x >= 0 else b_said[-1 - x] for x in line.tolist()]
-    lines = [b"".join(said[i:j]) for i, j in zip((a_first + b_first)[:-1].tolist(), (a_first + b_first)[1:].tolist(), strict=True)]
+    line[np.arange(len(b)) + upto_a[group_b]] = 2 * len(tokens.a_bytes) + 3 * b.astype(np.int64) + b_ends
+    begin, said = (a_first + b_first).tolist(), tokens.said.__getitem__
+    hashes, lines = [], []
+    for i, j in zip(begin, begin[1:], strict=False):
+        whole = b"".join(map(said, line[i:j].tolist()))
+        hashes.append(hashlib.sha256(whole).hexdigest() if whole else "")
+        lines.append(whole.decode() if with_groups else None)
     link_a, link_b, ends = linked(a_end, b_end)
-    pairs, at, times = np.unique(a[link_a].astype(np.int64) * len(tokens.b_bytes) + b[link_b], return_inverse=True, return_counts=True)
-    doc_end = np.concatenate([[0], a_end])[a_first]
-    first_link = np.searchsorted(ends, doc_end, side="right")
-    return {
-        "n_a": n_a, "n_b": n_b, "n_groups": np.diff(before[b_first]), "n_links": np.diff(first_link),
-        "groups": [x.decode() if with_groups else None for x in lines],
-        "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in lines],
-        "pairs": pairs, "times": times, "links": at.astype(np.uint16 if len(pairs) <= 1 << 16 else np.uint32).tobytes(),
-    }
+    first_link = np.searchsorted(ends, np.concatenate([[0], a_end])[a_first], side="right")
+    got = {"n_a": n_a, "n_b": n_b, "n_groups": np.diff(before[b_first]), "n_links": np.diff(first_link), "groups": lines, "groups_sha256": hashes}
+    return got, a[link_a].astype(np.int64) * len(tokens.b_bytes) + b[link_b]
+
+
+def _aligned_block(tokens: Tokens, texts: pa.Array, with_groups: bool) -> dict[str, list]:
+    """The columns of BLOCK from n_a on; some of the texts are aligned at a time."""
+    made = [_aligned_part(tokens, [t or "" for t in texts.slice(row, end - row).to_pylist()], with_groups) for row, end, _, _ in pieces(texts, PART_BYTES)]
+    got = {c: np.concatenate([m[0][c] for m in made]) for c in ("n_a", "n_b", "n_groups", "n_links")}
+    got |= {c: [x for m in made for x in m[0][c]] for c in ("groups", "groups_sha256")}
+    pairs, at, times = np.unique(np.concatenate([m[1] for m in made]), return_inverse=True, return_counts=True)
+    return got | {"pairs": pairs, "times": times, "links": at.astype(np.uint16 if len(pairs) <= 1 << 16 else np.uint32).tobytes()}
 
 
 def blocks(docs: DataFrame, byte_file: str, piece_file: str, with_groups: bool = True) -> DataFrame:
@@ -198,7 +254,7 @@ def blocks(docs: DataFrame, byte_file: str, piece_file: str, with_groups: bool =
         for batch in batches:
             text = batch.column("text")
             for row, end, _, _ in pieces(text, BLOCK_BYTES):
-                got = _aligned_block(tokens, text.slice(row, end - row).to_pylist(), with_groups)
+                got = _aligned_block(tokens, text.slice(row, end - row), with_groups)
                 got |= {"block": block, "doc_id": batch.column("doc_id").slice(row, end - row).to_pylist()}
                 yield pa.RecordBatch.from_arrays([pa.array([got[f.name]], f.type) for f in schema], schema=schema)
                 block += 1
