@@ -112,7 +112,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "co
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
-    rows = vectors.where(matches(vectors, filters)).where("embedding is not null").select("chunk_id", "embedding")
+    # null vectors go in the tasks: a condition on vectors that a plan makes would make them twice
+    rows = vectors.where(matches(vectors, filters)).select("chunk_id", "embedding")
     asked = queries.where("embedding is not null").select("query_id", "embedding")
     kind, query_kind = rows.schema["chunk_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_kind}, chunk_id {kind}, score double"
@@ -124,6 +125,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "co
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
             for batch in batches:
+                if batch.column("embedding").null_count:
+                    batch = batch.filter(batch.column("embedding").is_valid())
                 if not batch.num_rows:
                     continue
                 x = np.asarray(batch.column("embedding").flatten(), dtype=float).reshape(batch.num_rows, -1)

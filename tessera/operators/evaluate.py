@@ -40,9 +40,13 @@ def ground_truth(samples: DataFrame, chunks: DataFrame) -> DataFrame:
 def containing(samples: DataFrame, chunks: DataFrame, words: int = 3) -> DataFrame:
     """(query_id, chunk_id): the chunks whose content has a sample's `text`, letter by letter.
 
-    A text's inner words stand whole in whatever contains it, so a run of ``words`` of them, the longest one, leads to the few
-    chunks that are then searched. Texts with too few inner words, if there are any, are looked for in every chunk, all at once.
+    Texts of one block of patterns (a checked size) are looked for in every chunk, all at once. Where there are more: a text's inner words stand
+    whole in whatever contains it, so a run of ``words`` of them, the longest one, leads to the few chunks that are then searched; of these texts,
+    only those with too few inner words, if there are any, are looked for in every chunk.
     """
+    wanted = lambda df: patterns.contained(chunks.select("chunk_id", "content"), ["chunk_id"], "content", df.select(F.col("text").alias("pattern"))).join(df.select("query_id", F.col("text").alias("pattern")), "pattern").select("query_id", "chunk_id")
+    if samples.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0] < patterns.BLOCK_BYTES:
+        return wanted(samples).distinct()
     split = lambda c: F.split(c, r"\s+")
     runs = lambda w, begin, end: F.transform(F.sequence(begin, end), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
     asked = samples.select("query_id", "text", split("text").alias("w"))
@@ -56,8 +60,7 @@ def containing(samples: DataFrame, chunks: DataFrame, words: int = 3) -> DataFra
     found = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").where(F.contains("content", "text"))
     short = asked.where(F.size("w") < words + 2)
     if not short.isEmpty():
-        held = patterns.contained(chunks.select("chunk_id", "content"), ["chunk_id"], "content", short.select(F.col("text").alias("pattern")))
-        found = found.select("query_id", "chunk_id").unionByName(held.join(short.select("query_id", F.col("text").alias("pattern")), "pattern").select("query_id", "chunk_id"))
+        found = found.select("query_id", "chunk_id").unionByName(wanted(short))
     return found.select("query_id", "chunk_id").distinct()
 
 

@@ -410,3 +410,40 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     main([*index, "interactive"])
     said = capsys.readouterr().out
     assert "other text is a query" in said and "\033[2J" in said
+
+
+def test_benchmark_makes_each_vector_once(spark, monkeypatch):
+    """Of several configurations that use the vector search; the former plan made them several times."""
+    from tessera.plans import queries
+
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(HashingEmbeddings):
+        def documents(self, text):
+            def noted(t):
+                seen.add(1)
+                return t
+
+            return super().documents(F.udf(noted, "string")(text))
+
+    monkeypatch.setattr(queries, "HashingEmbeddings", Counting)
+    rows = queries.benchmark_4way(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 4 and seen.value == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+@pytest.mark.parametrize("most", [1 << 22, 1])
+def test_containing_by_one_pass_or_by_runs(spark, monkeypatch, most):
+    from tessera.operators import patterns
+
+    monkeypatch.setattr(patterns, "BLOCK_BYTES", most)
+    chunks = spark.createDataFrame([("a", "x one two  three four five y"), ("b", "one two three four five"), ("c", None), ("d", "")], "chunk_id string, content string")
+    samples = spark.createDataFrame([(1, "one two  three four five"), (2, "one two three four fiv"), (3, "o"), (4, None), (5, "nothing of the kind at all"), (6, "three four five")], "query_id long, text string")
+    got = sorted(map(tuple, evaluate.containing(samples, chunks).collect()))
+    assert got == [(1, "a"), (2, "b"), (3, "a"), (3, "b"), (6, "a"), (6, "b")]
+
+
+def test_null_vectors_are_no_hits(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, None)], "chunk_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id long, embedding array<double>")
+    assert [(r.query_id, r.chunk_id) for r in dense.search(vectors, asked, 3).orderBy("rank").collect()] == [(7, 1), (7, 3)]
+    assert dense.search(vectors.where("embedding is null"), asked, 3).count() == 0
