@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import floor, log
 from typing import Any
 
@@ -62,8 +63,8 @@ class Manager:
 
     A change is a segment: its own rows of every table, and the doc_ids whose rows in earlier segments are gone. Readers see the segments
     that the latest log entry names, so a change shows as a whole. Corpus statistics and document frequencies are kept by signed
-    differences. `merge` makes one segment of neighbours once ``fanout`` of a size (within a power of ``fanout``) have come
-    together, so that their number grows with the logarithm of the rows; `compact` makes one of all. Vectors of a model are kept by the
+    differences. `merge` makes one segment of neighbours once ``fanout`` of a size (within a power of ``fanout``), or smaller ones before
+    them, have come together, so that their number grows with the logarithm of the rows; `compact` makes one of all. Vectors of a model are kept by the
     hash of their text (``keep_embeddings``, of models unless it is said), so that a text that was embedded before, in whatever document, is not embedded
     again. What the scores depend on (BM25's parameters, the metric) is kept with the index; another choice for an index that exists
     is an error.
@@ -112,9 +113,12 @@ class Manager:
         if rows is None:
             return None
         marks = rows.groupBy("doc_id").agg(F.max("seq").alias("gone"))
-        # where a segment's log entry doesn't say how many they are, they are shuffled
-        most = sum(s.get("gone", MOST_GONE + 1) for s in (state["segments"] if segments is None else segments) if "gone" in s["tables"])
-        return F.broadcast(marks) if most <= MOST_GONE else marks
+        return F.broadcast(marks) if self._few_gone(state["segments"] if segments is None else segments) else marks
+
+    @staticmethod
+    def _few_gone(segments: list[dict[str, Any]]) -> bool:
+        """Whether the ids of gone documents are sent to all executors; where a segment's log entry doesn't say how many they are, they are shuffled."""
+        return sum(s.get("gone", MOST_GONE + 1) for s in segments if "gone" in s["tables"]) <= MOST_GONE
 
     def _live(self, name: str, state: dict[str, Any], segments: list[dict[str, Any]] | None = None) -> DataFrame | None:
         """The live rows of a table, of all segments or of these."""
@@ -297,15 +301,11 @@ class Manager:
             self.journal.delete(f"{name}/seq={segment['seq']}/run={segment['run']}")
 
     def _due(self, segments: list[dict[str, Any]]) -> int | None:
-        """From which segment on the last ones are to be one: as soon as ``fanout`` of a size are among those at the end that are no larger."""
+        """From which segment on the last ones are to be one: as soon as ``fanout`` are of a size. One that a larger one follows counts as of
+        that size, since no other of its own size can come next to it."""
         sizes = [floor(log(max(s["rows"], 1), self.fanout) + 1e-9) for s in segments]
-        for size in sorted(set(sizes)):
-            start = len(sizes)
-            while start and sizes[start - 1] <= size:
-                start -= 1
-            if sizes[start:].count(size) >= self.fanout:
-                return start
-        return None
+        sizes = list(accumulate(reversed(sizes), max))[::-1]
+        return next((sizes.index(size) for size in sorted(set(sizes)) if sizes.count(size) >= self.fanout), None)
 
     def merge(self) -> int:
         """Merges segments until none are due; how many merges there were. If another writer comes first, the rest is left for later."""
@@ -333,7 +333,9 @@ class Manager:
             if (rows := self._live(name, state, old)) is not None:
                 self._write(name, rows, segment, state)
         if (flat := self._live("postings", state, old)) is not None:
-            self._write("postings", sparse.blocked(self._work("postings", flat, segment)), segment, state)
+            # read three times: written first only if each time would shuffle it by document
+            flat = flat if self._few_gone(state["segments"]) else self._work("postings", flat, segment)
+            self._write("postings", sparse.blocked(flat), segment, state)
         if (differences := self._rows("frequencies", state, old)) is not None:
             self._write_frequencies([differences.select("term", "df")], segment, state)
         if (embedded := self._rows("embedded", state, old)) is not None:

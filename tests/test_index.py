@@ -1,5 +1,6 @@
 """Blocks of postings, the vocabulary by differences, merges, blank replacements, filters by bounds, and clusters with bounds."""
 
+import math
 import random
 import shutil
 
@@ -7,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import clusters, dense, embeddings, sparse
+from tessera.operators import clusters, dense, embeddings, index, sparse
 from tessera.operators.embeddings import HashingEmbeddings
 from tessera.operators.index import Changed, Manager
+from tessera.plans import queries as registered
 from tessera.plans.pipeline import Retrieval
 from tessera.sources import loaders
 
@@ -166,6 +168,50 @@ def test_merges_keep_few_segments(spark, tmp_path):
     assert sorted(r.doc_id for r in m.table("vectors").collect()) == sorted(seen) == sorted(r.doc_id for r in m.table("words").collect())
 
 
+@pytest.mark.parametrize("most", [index.MOST_GONE, -1])
+def test_small_segments_before_a_larger_one_are_merged(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(index, "MOST_GONE", most)
+    m = manager(spark, tmp_path / "i", fanout=2)
+    old, new = [(i, text(6, i), "s") for i in range(3)], [(i, text(6, 100 + i), "s") for i in range(1, 9)]
+    m.index_documents(documents(spark, old))
+    m.index_documents(documents(spark, new))
+    before = m.segments()
+    assert [s["rows"] for s in before] == [3, 10] and m.merge() == 1
+    left = old[:1] + new
+    assert [s["rows"] for s in m.segments()] == [9] and m.index().gone is None
+    queries = asked(spark, "w1 w2 w20", text(10, 3), old[1][1], new[0][1])
+    assert key(sparse.search(m.index(), queries, 5)) == plain(spark, left, queries, 5)
+    for name in ("registry", "chunks", "vectors", "words"):
+        assert sorted(r.doc_id for r in m.table(name).collect()) == list(range(9))
+
+
+def test_segments_stay_few_in_any_order(spark, tmp_path):
+    m, r = manager(spark, tmp_path / "i", fanout=4), random.Random(5)
+    nested = [1]
+    for size in (4, 16, 64, 256):
+        nested = (nested * 3 + [size]) * 3
+    for sizes in (nested, [r.choice([1, 1, 5, 20, 300]) for _ in range(800)], list(range(1, 300)), list(range(300, 1, -1))):
+        segments, most = [], 0
+        for rows in sizes:
+            segments.append({"rows": rows})
+            while (start := m._due(segments)) is not None:
+                assert len(segments) - start >= 2
+                segments[start:] = [{"rows": sum(s["rows"] for s in segments[start:])}]
+            most = max(most, len(segments))
+        total = sum(sizes)
+        assert segments and sum(s["rows"] for s in segments) == total and most <= 3 * (math.floor(math.log(total, 4)) + 1)
+
+
+def test_index_search_searches_what_was_merged(spark, monkeypatch):
+    seen, search = [], sparse.search
+    monkeypatch.setattr(sparse, "search", lambda index, *a, **b: seen.append(index) or search(index, *a, **b))
+    hits = registered.index_search(spark, "/root/testdata/sf0.001")
+    (found,) = seen
+    assert found.gone is None and found.rows.select("seq").distinct().count() == 1
+    want = registered.bm25_topk(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect())) and hits.count()
+
+
 def test_a_merge_gives_way_to_a_writer(spark, tmp_path, monkeypatch):
     one, two = manager(spark, tmp_path / "i", fanout=2), manager(spark, tmp_path / "i")
     for i in range(2):
